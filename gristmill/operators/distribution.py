@@ -1,8 +1,8 @@
-"""Exact duration distributions: count, total, min, floor mean, nearest-rank p50/p95/p99, max.
+"""Exact order statistics without holding a group in one buffer.
 
-``percentile_disc`` agrees with nearest rank but keeps every distinct value of a group in one
-buffer.  Here equal values are counted first (partial aggregation), the counts are scanned in
-value order in spans of bounded width, and the three ranks are read off.  No group is held whole.
+``percentile_disc`` and ``median`` keep every distinct value of a group in one aggregation buffer.
+Here equal values are counted first (partial aggregation), the counts are scanned in value order
+in spans of bounded width, and the wanted ranks are read off.
 """
 
 from __future__ import annotations
@@ -11,85 +11,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# fixed values: the percentiles every distribution reports
+# fixed values: the percentiles every distribution reports, and the column order of one distribution
 PERCENTILES = (50, 95, 99)
+FIELDS = ("sample_count", "total_ns", "minimum_ns", "mean_ns", "p50_ns", "p95_ns", "p99_ns", "max_ns")
 
 
-def rank_of(percentile: int, count: Column) -> Column:
-    """Nearest rank, 1-based: ceil(p * n / 100) in integers."""
-    return F.expr(f"({percentile} * __n_all + 99) div 100") if count is None else (
-        F.floor((F.lit(percentile) * count + 99) / F.lit(100))
-    )
-
+def _value_span(value: Column) -> Column:
+    """A bucket that never decreases as ``value`` grows: 4096 per factor of e, by sign."""
+    size = F.floor((F.ln(F.abs(value.cast("double"))) + 745.0) * 4096.0) + 1
+    return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value.cast("double")).cast("long") * size)
 
-def _value_span(value: str) -> Column:
-    """Order-preserving bucket: the bit length and the 12 bits after the leading one."""
-    bits = F.length(F.conv(F.col(value).cast("string"), 10, 2))
-    return F.when(F.col(value) < 4096, F.lit(0).cast("long")).otherwise(
-        bits.cast("long") * 4096
-        + F.expr(f"shiftright({value}, length(conv(cast({value} as string), 10, 2)) - 13)")
-        - 4096
-    )
 
+def ranked_counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Per key the distinct non-null values with the ranks they cover: ``value, n, lo, hi, all``.
 
-def distributions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row per key: ``sample_count … max_ns`` of the non-null, non-negative ``value``."""
+    The sorted values of a key with rank in (lo, hi] equal ``value``; ``all`` is the row count.
+    """
     counted = (
-        df.where(F.col(value).isNotNull())
-        .withColumn("__v", F.col(value).cast("long"))
-        .groupBy(*keys, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__b", _value_span("__v"))
+        df.select(*keys, value.alias("value"))
+        .where(F.col("value").isNotNull())
+        .groupBy(*keys, "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("__b", _value_span(F.col("value")))
     )
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "__b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     buckets = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     starts = (
         counted.groupBy(*keys, "__b")
-        .agg(F.sum("__n").alias("__bn"))
+        .agg(F.sum("n").alias("__bn"))
         .select(
             *keys,
             "__b",
             F.coalesce(F.sum("__bn").over(buckets), F.lit(0)).alias("__before"),
-            F.sum("__bn").over(whole).alias("__all"),
+            F.sum("__bn").over(Window.partitionBy(*keys)).alias("all"),
         )
     )
-    placed = (
-        counted.withColumn("__cum", F.sum("__n").over(inside))
+    return (
+        counted.withColumn("__cum", F.sum("n").over(inside))
         .join(starts, [*keys, "__b"])
-        .withColumn("__hi", F.col("__before") + F.col("__cum"))
-        .withColumn("__lo", F.col("__hi") - F.col("__n"))
+        .withColumn("hi", F.col("__before") + F.col("__cum"))
+        .withColumn("lo", F.col("hi") - F.col("n"))
+        .select(*keys, "value", "n", "lo", "hi", "all")
     )
-    picks = []
-    for p in PERCENTILES:
-        rank = F.floor((F.lit(p) * F.col("__all") + 99) / F.lit(100))
-        picks.append(
-            F.max(F.when((F.col("__lo") < rank) & (rank <= F.col("__hi")), F.col("__v"))).alias(f"p{p}_ns")
-        )
+
+
+def at_rank(rank: Column) -> Column:
+    """Aggregate over ``ranked_counts``: the value at 1-based ``rank``."""
+    return F.max(F.when((F.col("lo") < rank) & (rank <= F.col("hi")), F.col("value")))
+
+
+def distributions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per key: ``sample_count … max_ns`` of the non-null ``value``.
+
+    Percentiles are nearest rank, ceil(p * n / 100); the mean is floored.
+    """
+    picks = [
+        at_rank(F.floor((F.lit(p) * F.col("all") + 99) / F.lit(100))).alias(f"p{p}_ns") for p in PERCENTILES
+    ]
     return (
-        placed.groupBy(*keys)
+        ranked_counts(df, keys, F.col(value).cast("long"))
+        .groupBy(*keys)
         .agg(
-            F.sum("__n").alias("sample_count"),
-            F.sum(F.col("__v") * F.col("__n")).alias("total_ns"),
-            F.min("__v").alias("minimum_ns"),
+            F.sum("n").alias("sample_count"),
+            F.sum(F.col("value") * F.col("n")).alias("total_ns"),
+            F.min("value").alias("minimum_ns"),
             *picks,
-            F.max("__v").alias("max_ns"),
+            F.max("value").alias("max_ns"),
         )
         .withColumn("mean_ns", F.expr("total_ns div sample_count"))
-        .select(
-            *keys,
-            "sample_count",
-            "total_ns",
-            "minimum_ns",
-            "mean_ns",
-            *[f"p{p}_ns" for p in PERCENTILES],
-            "max_ns",
-        )
+        .select(*keys, *FIELDS)
     )
 
 
-# fixed values: column order of one distribution
-FIELDS = ("sample_count", "total_ns", "minimum_ns", "mean_ns", "p50_ns", "p95_ns", "p99_ns", "max_ns")
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median per key (mean of the two middle values)."""
+    n = F.col("all")
+    return (
+        ranked_counts(df, keys, F.col(value).cast("double"))
+        .groupBy(*keys)
+        .agg(
+            at_rank(F.floor((n + 1) / F.lit(2))).alias("__low"),
+            at_rank(F.floor(n / F.lit(2)) + 1).alias("__high"),
+        )
+        .select(*keys, ((F.col("__low") + F.col("__high")) / 2).alias("median"))
+    )
 
 
 def wide_distributions(
