@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 # Rows of one key that one task sorts; event_index is dense per capture, so a span can never
 # hold more rows than this.
 SPAN_ROWS = 1 << 16
+# Rows of one key that one task may sort and scan as a whole.
+PLAIN_ROWS = 1 << 20
 _SPAN = "__span"
 
 
@@ -40,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def span_for(df: DataFrame, keys: list[str], plain_rows: int = PLAIN_ROWS) -> int | None:
+    """``None`` when no key of ``df`` has more than ``plain_rows`` rows, else the span to cut at.
+
+    One partial aggregation over the key columns; call it on a written table.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > plain_rows)
+    return None if counts.isEmpty() else SPAN_ROWS
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value.
@@ -76,14 +87,17 @@ def running(
     keys: list[str],
     order: str,
     specs: dict[str, Running],
-    span: int | Column = SPAN_ROWS,
+    span: int | Column | None = SPAN_ROWS,
 ) -> DataFrame:
     """Add the running values in ``specs`` to ``df``.
 
     ``keys`` are non-null columns; ``order`` is a non-null number, unique within the keys.
-    ``span`` is the number of ``order`` units per span, or a column that grows with ``order``.
-    Every plain value is computed in the same shuffle on (keys, span).
+    ``span`` is the number of ``order`` units per span, or a column that grows with ``order``; with
+    ``None`` (see ``span_for``) each key is scanned whole by one plain window.
+    All values are computed in the same shuffle.
     """
+    if span is None:
+        return _plain(df, keys, order, specs)
     span_of = span if isinstance(span, Column) else F.floor(F.col(order) / F.lit(span))
     staged = df.withColumn(_SPAN, span_of)
     inside = Window.partitionBy(*keys, _SPAN).orderBy(order)
@@ -92,7 +106,7 @@ def running(
     spans = Window.partitionBy(*keys).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
     spans_upto = Window.partitionBy(*keys).orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, 0)
 
-    local, extra = staged, []
+    local = staged
     for name, spec in specs.items():
         frame = upto if spec.inclusive else before
         if spec.kind == "sum":
@@ -120,7 +134,6 @@ def running(
                     - F.coalesce(F.col(f"__r_{name}"), F.lit(0).cast("long")),
                 )
             )
-            extra += [f"__v_{name}", f"__c_{name}", f"__m_{name}"]
         else:
             raise ValueError(f"unknown running kind {spec.kind!r}")
 
@@ -182,9 +195,31 @@ def running(
     return joined.select(*[c for c in df.columns if c not in specs], *out)
 
 
-def lag_by(keys: list[str], order: str, value: Column) -> Running:  # noqa: ARG001 - reads well
-    """Value of the previous row (nulls are skipped, so wrap nullable values in a struct)."""
-    return Running("last", value, inclusive=False)
+def _plain(df: DataFrame, keys: list[str], order: str, specs: dict[str, Running]) -> DataFrame:
+    by_key = Window.partitionBy(*keys).orderBy(order)
+    upto = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    out = df
+    for name, spec in specs.items():
+        frame = upto if spec.inclusive else before
+        if spec.kind == "sum":
+            out = out.withColumn(name, F.coalesce(F.sum(spec.value).over(frame), F.lit(0)))
+        elif spec.kind == "max":
+            out = out.withColumn(name, F.max(spec.value).over(frame))
+        elif spec.kind == "min":
+            out = out.withColumn(name, F.min(spec.value).over(frame))
+        elif spec.kind == "last":
+            out = out.withColumn(name, F.last(spec.value, ignorenulls=True).over(frame))
+        elif spec.kind == "since":
+            value = F.coalesce(spec.value.cast("long"), F.lit(0).cast("long"))
+            out = out.withColumn("__c", F.sum(value).over(upto)).withColumn(
+                "__r", F.last(F.when(spec.reset, F.col("__c")), ignorenulls=True).over(frame)
+            )
+            here = F.col("__c") if spec.inclusive else F.col("__c") - value
+            out = out.withColumn(name, here - F.coalesce("__r", F.lit(0).cast("long"))).drop("__c", "__r")
+        else:
+            raise ValueError(f"unknown running kind {spec.kind!r}")
+    return out
 
 
 def dense_index(

@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions.symbols import is_unknown_symbol
 from gristmill.operators.ordered import dense_index
 from gristmill.sources.folded import plain_frame
 
-_CUTOFF = "TIMESTAMP '2000-01-01 00:00:00'"
-
 STACK_SQL = """
 select case when l_shipdate < TIMESTAMP '2000-01-01 00:00:00' then 'baseline' else 'candidate' end as capture_id,
   l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -27,9 +24,6 @@ from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_o
   join region on r_regionkey = n_regionkey
 """
 
-_NANOS = "{EPOCH_US} * 1000"
-_K = "cast({K} as int)"
-
 EVENT_ROWS_SQL = """
 select user_id, event_id, event_type, value, {EPOCH_US} * 1000 as ts_ns, cast({K} as int) as k from events
 """
@@ -47,15 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
-    return spark.sql(
-        text.replace("{EPOCH_US}", SPARK_EPOCH).replace("{K}", SPARK_K).format_map(
-            {t: "{" + t + "}" for t in tables}
-        ),
-        **{t: table(spark, sf_dir, t) for t in tables},
-    )
-
-
 def stack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lineitem: capture, thread, weight, context, ``;``-joined stack, leaf object."""
     names = ["lineitem", "part", "orders", "customer", "nation", "region"]
@@ -166,3 +151,98 @@ DUCK_LOCKS = (
   case when k % 7 = 0 then 'foreign_redacted' when k % 5 = 0 then 'target' else 'unavailable' end as owner_evidence
   from event_rows)"""
 )
+
+
+# fixed values: semantics of each capture, and what each event type of the table stands for
+RUNTIME_SEMANTICS = "case capture_id when 3 then 'thresholded' when 4 then 'sampled' else 'exact' end"
+RUNTIME_KINDS = """case when capture_id = 4 then 'sampled_contention' when event_type = 'click' then 'wait_begin'
+  when event_type = 'view' then 'acquire' when event_type = 'purchase' then 'release'
+  when event_type = 'error' then 'wait_end' when k % 2 = 0 then 'park' else 'unpark' end"""
+_RUNTIME_COLUMNS = f"""capture_id, event_index, event_id, ts_ns, cast(user_id % 10 as {{text}}) as context,
+  {RUNTIME_KINDS} as event_kind, {RUNTIME_SEMANTICS} as semantics,
+  case when k % 11 = 0 and capture_id >= 3 then null else cast(k % 3 as {{text}}) end as lock_id,
+  case when k % 3 = 2 then 'monitor' else 'mutex' end as lock_kind,
+  case when k % 4 = 0 then null else 's' || cast(k % 6 as {{text}}) end as stack_id,
+  case when k % 5 = 0 then cast(k % 10 as {{text}}) end as owner_context, k"""
+
+
+def runtime_lock_events(spark: SparkSession, sf_dir: str, references: bool = False) -> DataFrame:
+    """Runtime-lock events; durations are those a source would report, wrong in every 7th row.
+
+    With ``references`` the ends name the last begin of their subject, or a wrong one in every
+    9th row; recursive mutexes take part.
+    """
+    from gristmill.operators.ordered import running, running_last
+
+    rows = spark.sql(
+        "select " + _RUNTIME_COLUMNS.replace("{text}", "string") + " from {rows}", rows=event_rows(spark, sf_dir)
+    )
+    if references:
+        rows = rows.withColumn(
+            "lock_kind", F.when(F.col("lock_id") == "1", "recursive_mutex").otherwise(F.col("lock_kind"))
+        )
+    kind = F.col("event_kind")
+    keyed = rows.withColumn("lock_key", F.coalesce("lock_id", F.lit("")))
+    seen = running(
+        keyed,
+        ["capture_id", "context", "lock_key", "lock_kind"],
+        "event_index",
+        {
+            "begin": running_last(F.when(kind == "wait_begin", F.struct("ts_ns", "event_id")), inclusive=False),
+            "taken": running_last(F.when(kind == "acquire", F.struct("ts_ns", "event_id")), inclusive=False),
+            "ended": running_last(F.when(kind == "wait_end", F.struct("ts_ns", "event_id")), inclusive=False),
+        },
+    )
+    off = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    out = (
+        seen.withColumn(
+            "duration_ns",
+            F.when(kind == "wait_end", F.coalesce(F.col("ts_ns") - F.col("begin.ts_ns"), F.lit(1000)) + off),
+        )
+        .withColumn(
+            "hold_duration_ns", F.when(kind == "release", F.col("ts_ns") - F.col("taken.ts_ns") + off)
+        )
+        .withColumn(
+            "outcome",
+            F.when(kind == "wait_end", F.when(F.col("k") % 4 == 0, "acquired").otherwise("timed_out")),
+        )
+        .withColumn("parked_context", F.when((kind == "unpark") & (F.col("k") % 13 != 1), F.col("context")))
+        .withColumn("observed_count", F.when(kind == "sampled_contention", F.col("k").cast("bigint") + 1))
+        .withColumn("cumulative_wait_ns", F.when(kind == "sampled_contention", F.col("ts_ns") % 1000000 + 1))
+        .withColumn("estimated_count", F.lit(None).cast("double"))
+    )
+    if references:
+        wrong = F.col("event_id") % 9 == 0
+        other = (F.col("event_id") - 40).cast("string")
+
+        def named(which: str, last: str):
+            exists = F.col(f"{last}.event_id").isNotNull() & (F.col("k") % 3 != 1)
+            return F.when(
+                (kind == which) & exists, F.when(wrong, other).otherwise(F.col(f"{last}.event_id").cast("string"))
+            )
+
+        out = (
+            out.withColumn("wait_begin_event_id", named("wait_end", "begin"))
+            .withColumn("wait_end_event_id", named("acquire", "ended"))
+            .withColumn("acquire_event_id", named("release", "taken"))
+        )
+    return out.drop("begin", "taken", "ended", "lock_key", "k")
+
+
+DUCK_RUNTIME = (
+    DUCK_EVENT_ROWS
+    + f""", rt0 as (select {_RUNTIME_COLUMNS.replace('{text}', 'varchar')} from event_rows),
+rt1 as (select *, coalesce(lock_id, '') as lock_key,
+    last_value(case when event_kind = 'wait_begin' then ts_ns end ignore nulls) over w as b_ts,
+    last_value(case when event_kind = 'wait_begin' then event_id end ignore nulls) over w as b_id,
+    last_value(case when event_kind = 'acquire' then ts_ns end ignore nulls) over w as a_ts,
+    last_value(case when event_kind = 'acquire' then event_id end ignore nulls) over w as a_id from rt0
+  window w as (partition by capture_id, context, coalesce(lock_id, ''), lock_kind order by event_index
+    rows between unbounded preceding and 1 preceding)),
+rt as (select *, case when event_kind = 'wait_end' then coalesce(ts_ns - b_ts, 1000) + case when event_id % 7 = 0 then 1 else 0 end end as duration_ns,
+  case when event_kind = 'release' then ts_ns - a_ts + case when event_id % 7 = 0 then 1 else 0 end end as hold_duration_ns,
+  case when event_kind = 'wait_end' then case when k % 4 = 0 then 'acquired' else 'timed_out' end end as outcome,
+  case when event_kind = 'unpark' and k % 13 <> 1 then context end as parked_context,
+  case when event_kind = 'sampled_contention' then k + 1 end as observed_count,
+  case when event_kind = 'sampled_contention' then ts_ns % 1000000 + 1 end as cumulative_wait_ns from rt1)"""
+)
