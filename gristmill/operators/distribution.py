@@ -23,41 +23,41 @@ def _value_span(value: Column) -> Column:
 
 
 def ranked_counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Per key the distinct non-null values with the ranks they cover: ``value, n, lo, hi, all``.
+    """Per key the distinct non-null values with the ranks they cover: ``__value, __n, __lo, __hi, __all``.
 
-    The sorted values of a key with rank in (lo, hi] equal ``value``; ``all`` is the row count.
+    The sorted values of a key with rank in (lo, hi] equal ``__value``; ``__all`` is the row count.
     """
     counted = (
-        df.select(*keys, value.alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("__b", _value_span(F.col("value")))
+        df.select(*keys, value.alias("__value"))
+        .where(F.col("__value").isNotNull())
+        .groupBy(*keys, "__value")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__b", _value_span(F.col("__value")))
     )
-    inside = Window.partitionBy(*keys, "__b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "__b").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
     buckets = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         counted.groupBy(*keys, "__b")
-        .agg(F.sum("n").alias("__bn"))
+        .agg(F.sum("__n").alias("__bn"))
         .select(
             *keys,
             "__b",
             F.coalesce(F.sum("__bn").over(buckets), F.lit(0)).alias("__before"),
-            F.sum("__bn").over(Window.partitionBy(*keys)).alias("all"),
+            F.sum("__bn").over(Window.partitionBy(*keys)).alias("__all"),
         )
     )
     return (
-        counted.withColumn("__cum", F.sum("n").over(inside))
+        counted.withColumn("__cum", F.sum("__n").over(inside))
         .join(starts, [*keys, "__b"])
-        .withColumn("hi", F.col("__before") + F.col("__cum"))
-        .withColumn("lo", F.col("hi") - F.col("n"))
-        .select(*keys, "value", "n", "lo", "hi", "all")
+        .withColumn("__hi", F.col("__before") + F.col("__cum"))
+        .withColumn("__lo", F.col("__hi") - F.col("__n"))
+        .select(*keys, "__value", "__n", "__lo", "__hi", "__all")
     )
 
 
 def at_rank(rank: Column) -> Column:
     """Aggregate over ``ranked_counts``: the value at 1-based ``rank``."""
-    return F.max(F.when((F.col("lo") < rank) & (rank <= F.col("hi")), F.col("value")))
+    return F.max(F.when((F.col("__lo") < rank) & (rank <= F.col("__hi")), F.col("__value")))
 
 
 def distributions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -66,17 +66,17 @@ def distributions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Percentiles are nearest rank, ceil(p * n / 100); the mean is floored.
     """
     picks = [
-        at_rank(F.floor((F.lit(p) * F.col("all") + 99) / F.lit(100))).alias(f"p{p}_ns") for p in PERCENTILES
+        at_rank(F.floor((F.lit(p) * F.col("__all") + 99) / F.lit(100))).alias(f"p{p}_ns") for p in PERCENTILES
     ]
     return (
         ranked_counts(df, keys, F.col(value).cast("long"))
         .groupBy(*keys)
         .agg(
-            F.sum("n").alias("sample_count"),
-            F.sum(F.col("value") * F.col("n")).alias("total_ns"),
-            F.min("value").alias("minimum_ns"),
+            F.sum("__n").alias("sample_count"),
+            F.sum(F.col("__value") * F.col("__n")).alias("total_ns"),
+            F.min("__value").alias("minimum_ns"),
             *picks,
-            F.max("value").alias("max_ns"),
+            F.max("__value").alias("max_ns"),
         )
         .withColumn("mean_ns", F.expr("total_ns div sample_count"))
         .select(*keys, *FIELDS)
@@ -85,7 +85,7 @@ def distributions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median per key (mean of the two middle values)."""
-    n = F.col("all")
+    n = F.col("__all")
     return (
         ranked_counts(df, keys, F.col(value).cast("double"))
         .groupBy(*keys)

@@ -14,7 +14,7 @@ references are consistent need one round and one check.  No subject is ever held
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,7 @@ RECURSIVE = "recursive_mutex"
 TOP_STACKS = 10
 NO_LOCK, NO_STACK = "~aggregate", "~unknown"
 
+_COMMON = ["capture_id", "context", "lock_id", "lock_kind", "stack_id"]
 _OPTIONAL = {
     "lock_id": "string", "stack_id": "string", "owner_context": "string", "wait_begin_event_id": "string",
     "wait_end_event_id": "string", "acquire_event_id": "string", "duration_ns": "bigint",
@@ -48,15 +49,39 @@ _OPTIONAL = {
 }
 
 
-@dataclass(frozen=True)
 class Replay:
-    """Results of one replay: waits, holds, profiles, issues, and the disposition of each event."""
+    """Results of one replay; each table is planned when it is first asked for."""
 
-    waits: DataFrame
-    holds: DataFrame
-    profiles: DataFrame
-    issues: DataFrame
-    dispositions: DataFrame
+    def __init__(self, base: DataFrame, effects: DataFrame, nested: bool, span: int | None) -> None:
+        self._base, self._effects, self._nested, self._span = base, effects, nested, span
+
+    @cached_property
+    def _parks(self) -> DataFrame:
+        return _parks(self._base, self._span)
+
+    @cached_property
+    def waits(self) -> DataFrame:
+        return _waits(self._effects, self._parks)
+
+    @cached_property
+    def holds(self) -> DataFrame:
+        return _holds(self._effects)
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return self._base.where(F.col("event_kind") == "sampled_contention").select(
+            *_COMMON, "semantics", "observed_count", "estimated_count", "cumulative_wait_ns", "event_id"
+        )
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        """What could not be paired: phase, reason and the one or two rows concerned."""
+        return _issues(self._base, self._effects, self._parks, self._nested, self._span)
+
+    @cached_property
+    def dispositions(self) -> DataFrame:
+        """Each event as consumed, unpaired or ignored."""
+        return _dispositions(self._base, self._effects, self.waits, self.profiles, self.issues)
 
 
 def _with_references(events: DataFrame) -> DataFrame:
@@ -384,15 +409,14 @@ def replay(events: DataFrame, max_rounds: int = 10_000) -> Replay:
     effects = settled[0]
     for part in settled[1:]:
         effects = effects.unionByName(part)
-    return _results(base, effects, nested, span)
+    return Replay(base, effects, nested, span)
 
 
-def _results(base: DataFrame, effects: DataFrame, nested: bool, span: int | None) -> Replay:
+def _waits(effects: DataFrame, parks: DataFrame) -> DataFrame:
     kind = F.col("event_kind")
-    wait_columns = ["capture_id", "context", "lock_id", "lock_kind", "stack_id", "semantics"]
     owner = F.col("start.owner_context").isNotNull() | F.col("owner_context").isNotNull()
     paired = effects.where("recorded").select(
-        *wait_columns[:4],
+        *_COMMON[:4],
         F.coalesce("stack_id", "start.stack_id").alias("stack_id"),
         "semantics",
         F.when(kind == "acquire", F.col("ts_ns") - F.col("start.ts_ns")).otherwise(F.col("duration_ns")).alias("duration_ns"),
@@ -405,14 +429,14 @@ def _results(base: DataFrame, effects: DataFrame, nested: bool, span: int | None
         (kind == "wait_end") & F.col("start").isNull() & (F.col("semantics") == "thresholded")
         & (F.col("ref_id").isNull() | (F.col("verdict") == "ok"))
     ).select(
-        *wait_columns,
+        *_COMMON,
+        "semantics",
         "duration_ns",
         "outcome",
         F.col("owner_context").isNotNull().alias("owner_observed"),
         F.lit(None).cast("string").alias("begin_event_id"),
         F.col("event_id").alias("end_event_id"),
     )
-    parks = _parks(base, span)
     unparked = parks.where((kind == "unpark") & F.col("parked").isNotNull()).select(
         "capture_id",
         F.col("parked_context").alias("context"),
@@ -426,19 +450,17 @@ def _results(base: DataFrame, effects: DataFrame, nested: bool, span: int | None
         F.col("parked.event_id").alias("begin_event_id"),
         F.col("event_id").alias("end_event_id"),
     )
-    waits = paired.unionByName(lone).unionByName(unparked)
-    holds = effects.where(F.col("held_exactly") & (F.col("semantics") == "exact")).select(
-        *wait_columns[:4],
+    return paired.unionByName(lone).unionByName(unparked)
+
+
+def _holds(effects: DataFrame) -> DataFrame:
+    return effects.where(F.col("held_exactly") & (F.col("semantics") == "exact")).select(
+        *_COMMON[:4],
         F.coalesce("stack_id", "held.stack_id").alias("stack_id"),
         F.col("hold_duration_ns").alias("duration_ns"),
         F.col("held.event_id").alias("acquire_event_id"),
         F.col("event_id").alias("release_event_id"),
     )
-    profiles = base.where(kind == "sampled_contention").select(
-        *wait_columns, "observed_count", "estimated_count", "cumulative_wait_ns", "event_id"
-    )
-    issues = _issues(base, effects, parks, nested, span)
-    return Replay(waits, holds, profiles, issues, _dispositions(base, effects, waits, profiles, issues))
 
 
 def _parks(base: DataFrame, span: int | None) -> DataFrame:
@@ -624,9 +646,8 @@ def observations(result: Replay) -> DataFrame:
 
     Holds count under outcome ``acquired``, profiles under ``unknown``.
     """
-    common = ["capture_id", "context", "lock_id", "lock_kind", "stack_id"]
     waits = result.waits.select(
-        *common,
+        *_COMMON,
         F.when(F.col("semantics") == "exact", "exact_wait").otherwise("thresholded_wait").alias("measure"),
         "duration_ns",
         F.col("duration_ns").alias("wait_ns"),
@@ -635,7 +656,7 @@ def observations(result: Replay) -> DataFrame:
         F.lit(0).cast("bigint").alias("observed_count"),
     )
     holds = result.holds.select(
-        *common,
+        *_COMMON,
         F.lit("exact_hold").alias("measure"),
         "duration_ns",
         F.lit(0).cast("bigint").alias("wait_ns"),
@@ -644,7 +665,7 @@ def observations(result: Replay) -> DataFrame:
         F.lit(0).cast("bigint").alias("observed_count"),
     )
     profiles = result.profiles.select(
-        *common,
+        *_COMMON,
         F.when(F.col("semantics") == "sampled", "sampled").otherwise("cumulative").alias("measure"),
         F.lit(None).cast("bigint").alias("duration_ns"),
         F.col("cumulative_wait_ns").alias("wait_ns"),

@@ -169,10 +169,10 @@ _RUNTIME_COLUMNS = f"""capture_id, event_index, event_id, ts_ns, cast(user_id %
 def runtime_lock_events(spark: SparkSession, sf_dir: str, references: bool = False) -> DataFrame:
     """Runtime-lock events; durations are those a source would report, wrong in every 7th row.
 
-    With ``references`` the ends name the last begin of their subject, or a wrong one in every
-    9th row; recursive mutexes take part.
+    With ``references`` the ends name the open begin of their subject, or another row in every 9th
+    row; recursive mutexes take part.
     """
-    from gristmill.operators.ordered import running, running_last
+    from gristmill.operators.ordered import count_since, running, running_last
 
     rows = spark.sql(
         "select " + _RUNTIME_COLUMNS.replace("{text}", "string") + " from {rows}", rows=event_rows(spark, sf_dir)
@@ -191,6 +191,9 @@ def runtime_lock_events(spark: SparkSession, sf_dir: str, references: bool = Fal
             "begin": running_last(F.when(kind == "wait_begin", F.struct("ts_ns", "event_id")), inclusive=False),
             "taken": running_last(F.when(kind == "acquire", F.struct("ts_ns", "event_id")), inclusive=False),
             "ended": running_last(F.when(kind == "wait_end", F.struct("ts_ns", "event_id")), inclusive=False),
+            "begins": count_since(kind == "wait_begin", kind.isin("wait_end", "acquire"), inclusive=False),
+            "takes": count_since(kind == "acquire", kind == "release", inclusive=False),
+            "ends": count_since(kind == "wait_end", kind == "acquire", inclusive=False),
         },
     )
     off = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
@@ -215,18 +218,17 @@ def runtime_lock_events(spark: SparkSession, sf_dir: str, references: bool = Fal
         wrong = F.col("event_id") % 9 == 0
         other = (F.col("event_id") - 40).cast("string")
 
-        def named(which: str, last: str):
-            exists = F.col(f"{last}.event_id").isNotNull() & (F.col("k") % 3 != 1)
+        def named(which: str, last: str, count: str):
             return F.when(
-                (kind == which) & exists, F.when(wrong, other).otherwise(F.col(f"{last}.event_id").cast("string"))
+                (kind == which) & (F.col(count) % 2 == 1), F.when(wrong, other).otherwise(F.col(f"{last}.event_id").cast("string"))
             )
 
         out = (
-            out.withColumn("wait_begin_event_id", named("wait_end", "begin"))
-            .withColumn("wait_end_event_id", named("acquire", "ended"))
-            .withColumn("acquire_event_id", named("release", "taken"))
+            out.withColumn("wait_begin_event_id", named("wait_end", "begin", "begins"))
+            .withColumn("wait_end_event_id", named("acquire", "ended", "ends"))
+            .withColumn("acquire_event_id", named("release", "taken", "takes"))
         )
-    return out.drop("begin", "taken", "ended", "lock_key", "k")
+    return out.drop("begin", "taken", "ended", "begins", "takes", "ends", "lock_key", "k")
 
 
 DUCK_RUNTIME = (
