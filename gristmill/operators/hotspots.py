@@ -15,6 +15,8 @@ MAX_SYMBOL_VARIANTS = 32
 MAX_SOURCE_LOCATIONS = 16
 
 KEY = ["capture_id", "symbol", "dso"]
+# joins symbol and object into one grouping string; no line of text can hold it
+_SEPARATOR = "\0"
 
 
 def path_of(frames: str | Column = "frames") -> Column:
@@ -22,45 +24,68 @@ def path_of(frames: str | Column = "frames") -> Column:
     return F.transform(frames, lambda f: F.struct(f["symbol"].alias("symbol"), f["dso"].alias("dso")))
 
 
+def with_path(samples: DataFrame) -> DataFrame:
+    """Samples with ``path``; a source that knows it spares the walk over whole frames."""
+    return samples if "path" in samples.columns else samples.withColumn("path", path_of())
+
+
 def hotspots(samples: DataFrame) -> DataFrame:
     """Per (capture, symbol, dso): self, inclusive, sample and occurrence counts, threads.
 
     A recursive frame counts once into ``inclusive_weight``: the flag "first place of this key in
     its own stack" replaces a grouping by sample, so only partial aggregates are shuffled.
     """
+    keys = F.transform("path", lambda f: F.concat(f["symbol"], F.lit(_SEPARATOR), f["dso"]))
+    # places of repeated keys; null for the usual stack, so the exploded rows stay narrow
+    repeats = F.when(
+        F.size(F.array_distinct("keys")) <= F.col("last"),
+        F.filter(
+            F.sequence(F.lit(0), F.col("last")), lambda i: F.array_position("keys", F.get("keys", i)) != i + 1
+        ),
+    )
     occurrences = (
-        samples.select("capture_id", "thread_id", "weight", path_of().alias("path"))
-        .select("*", F.posexplode("path").alias("pos", "key"))
+        with_path(samples)
+        .select("capture_id", "thread_id", "weight", keys.alias("keys"))
+        .withColumn("last", F.size("keys") - 1)
+        .withColumn("repeats", repeats)
+        .select("capture_id", "thread_id", "weight", "last", "repeats", F.posexplode("keys").alias("pos", "key"))
         .select(
             "capture_id",
-            F.col("key.symbol").alias("symbol"),
-            F.col("key.dso").alias("dso"),
+            "key",
             "thread_id",
             "weight",
-            (F.col("pos") == F.size("path") - 1).alias("is_leaf"),
-            (F.array_position("path", F.col("key")) == F.col("pos") + 1).alias("is_first"),
+            (F.col("pos") == F.col("last")).alias("is_leaf"),
+            (F.col("repeats").isNull() | ~F.array_contains("repeats", F.col("pos"))).alias("is_first"),
         )
     )
     # threads first: the distinct count then adds nothing but a second partial aggregate
-    per_thread = occurrences.groupBy(*KEY, "thread_id").agg(
+    per_thread = occurrences.groupBy("capture_id", "key", "thread_id").agg(
         F.sum(F.when(F.col("is_leaf"), F.col("weight"))).alias("self_weight"),
         F.sum(F.when(F.col("is_first"), F.col("weight"))).alias("inclusive_weight"),
         F.count_if("is_first").alias("sample_count"),
         F.count(F.lit(1)).alias("stack_occurrence_count"),
     )
-    return per_thread.groupBy(*KEY).agg(
+    spots = per_thread.groupBy("capture_id", "key").agg(
         F.coalesce(F.sum("self_weight"), F.lit(0)).alias("self_weight"),
         F.sum("inclusive_weight").alias("inclusive_weight"),
         F.sum("sample_count").alias("sample_count"),
         F.sum("stack_occurrence_count").alias("stack_occurrence_count"),
         F.count("thread_id").alias("thread_count"),
     )
+    rest = [c for c in spots.columns if c not in ("capture_id", "key")]
+    return spots.select(
+        "capture_id",
+        F.substring_index("key", _SEPARATOR, 1).alias("symbol"),
+        F.substring_index("key", _SEPARATOR, -1).alias("dso"),
+        *rest,
+    )
 
 
 def call_paths(samples: DataFrame) -> DataFrame:
     """Weight and record count of each whole (symbol, dso) path."""
     return (
-        samples.select("capture_id", path_of().alias("path"), "weight")
+        with_path(samples)
+        .select("capture_id", "path", "weight")
         .groupBy("capture_id", "path")
         .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("record_count"))
     )
@@ -98,15 +123,13 @@ def export_call_paths(paths: DataFrame, limit: int = MAX_CALL_PATHS) -> DataFram
 
 def _first_values(samples: DataFrame, value, limit: int, name: str) -> DataFrame:
     """The first ``limit`` distinct values per hotspot in arrival order, sorted, and a cut flag."""
+    # only what is needed of a frame is exploded, each different value of a stack once
+    narrow = F.array_distinct(
+        F.transform("frames", lambda f: F.struct(f["symbol"].alias("symbol"), f["dso"].alias("dso"), value(f).alias("value")))
+    )
     seen = (
-        samples.select("capture_id", "sample_seq", F.posexplode("frames").alias("pos", "frame"))
-        .select(
-            "capture_id",
-            F.col("frame.symbol").alias("symbol"),
-            F.col("frame.dso").alias("dso"),
-            value(F.col("frame")).alias("value"),
-            F.struct("sample_seq", "pos").alias("seen"),
-        )
+        samples.select("capture_id", "sample_seq", F.posexplode(narrow).alias("pos", "frame"))
+        .select("capture_id", "frame.*", F.struct("sample_seq", "pos").alias("seen"))
         .where(F.col("value").isNotNull())
         .groupBy(*KEY, "value")
         .agg(F.min("seen").alias("seen"))

@@ -211,7 +211,7 @@ def call_paths(spark, sf_dir):
 
 # the objects a symbol is seen in stand for its raw spellings: more than 32 at the inner frames
 def _variant_samples(spark, sf_dir):
-    samples = views.samples(spark, sf_dir)
+    samples = views.samples(spark, sf_dir).drop("path")
     raw = F.concat(F.element_at("frames", -1)["dso"], F.lit("#"), F.pmod(F.col("sample_seq.l_partkey"), F.lit(50)))
     return samples.withColumn(
         "frames",

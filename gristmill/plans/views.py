@@ -53,19 +53,26 @@ def stack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stack samples; only the leaf lies in ``leaf_dso``, the callers in ``unknown``."""
-    rows = stack_rows(spark, sf_dir).withColumn("symbols", F.split("stack", ";"))
-    depth = F.size("symbols")
+    from gristmill.sources.lines import once
+
+    rows = once(stack_rows(spark, sf_dir), symbols=F.split("stack", ";"))
+    callers = F.slice("symbols", 1, F.size("symbols") - 1)
+    leaf, unknown = F.element_at("symbols", -1), F.lit("unknown")
+
+    def key(symbol, dso):
+        return F.struct(symbol.alias("symbol"), dso.alias("dso"))
+
     return rows.select(
         "capture_id",
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sample_seq"),
         "thread_id",
         "weight",
         "sample_context",
-        F.transform(
-            "symbols",
-            lambda s, i: plain_frame(s, F.when(i == depth - 1, F.col("leaf_dso")).otherwise("unknown")),
+        F.concat(
+            F.transform(callers, lambda s: plain_frame(s)), F.array(plain_frame(leaf, F.col("leaf_dso")))
         ).alias("frames"),
-        F.lit("unknown").alias("event"),
+        F.concat(F.transform(callers, lambda s: key(s, unknown)), F.array(key(leaf, F.col("leaf_dso")))).alias("path"),
+        unknown.alias("event"),
         F.lit("sample_count").alias("weight_unit"),
         F.lit("folded_weight").alias("weight_source"),
     )

@@ -52,40 +52,65 @@ def parse_folded(lines: DataFrame, *, max_line_chars: int = MAX_LINE_CHARS,
     ``reject`` is null for a good record, ``BLANK`` for an empty line, else the reason code.  All
     other columns pass through; one narrow stage, no Python.
     """
-    text = F.regexp_replace(clean_text(F.col("line")), r"^\s+|\s+$", "")
-    tail = r"^((?s).*\S)\s+(\S+)$"
+    line = F.col("line")
+    text = F.regexp_replace(clean_text(line), r"^\s+|\s+$", "")
     parsed = (
         lines.withColumn("__text", text)
-        .withColumn("__stack", F.regexp_extract("__text", tail, 1))
-        .withColumn("__weight", F.regexp_extract("__text", tail, 2))
+        .withColumn("__weight", F.when(F.col("__text").rlike(r"\s"), F.regexp_extract("__text", r"(\S+)$", 1)).otherwise(""))
         .withColumn(
             "weight",
-            F.when(
-                F.col("__weight").rlike(r"^[+-]?[0-9]+$"), F.col("__weight").try_cast("bigint")
-            ),
+            F.when(F.col("__weight").rlike(r"^[+-]?[0-9]+$"), F.col("__weight").try_cast("bigint")),
         )
-        .withColumn("symbols", F.transform(F.split("__stack", ";"), lambda s: F.trim(s)))
+        .withColumn("symbols", F.split(F.regexp_replace("__text", r"\s+\S+$", ""), r"\s*;\s*"))
     )
     reject = (
-        F.when(F.length("line") > max_line_chars, "LINE_TOO_LONG")
+        F.when(F.length(line) > max_line_chars, "LINE_TOO_LONG")
         .when(F.col("__text") == "", "BLANK")
         .when(F.col("__weight") == "", "MISSING_WEIGHT")
         .when(F.col("weight").isNull() | (F.col("weight") <= 0), "INVALID_WEIGHT")
         .when(F.array_contains("symbols", ""), "EMPTY_FRAME")
         .when(F.size("symbols") > max_stack_depth, "STACK_TOO_DEEP")
     )
-    return parsed.withColumn("reject", reject).drop("__text", "__stack", "__weight")
+    return parsed.withColumn("reject", reject).drop("__text", "__weight")
+
+
+def good_records(lines: DataFrame, *, max_line_chars: int = MAX_LINE_CHARS,
+                 max_stack_depth: int = MAX_STACK_DEPTH) -> DataFrame:
+    """``weight`` and ``symbols`` of the good records only.
+
+    The same records as ``parse_folded`` accepts, told apart by cheap tests on the raw line, so the
+    filter does not repeat the parsing.
+    """
+    line = F.col("line")
+    weight = F.regexp_extract(line, r"\s\+?([0-9]+)\s*$", 1).try_cast("bigint")
+    stack = F.make_valid_utf8(F.regexp_replace(line, r"^\s+|\s+\S+\s*$", ""))
+    symbols = F.when(stack.rlike(r"\s;|;\s"), F.split(stack, r"\s*;\s*")).otherwise(F.split(stack, ";"))
+    good = (
+        line.rlike(r"\S\s+\+?[0-9]+\s*$")
+        & ~line.rlike(r"(?:^|;)\s*;|;\s+\S+\s*$")
+        & (F.length(line) <= max_line_chars)
+        & (weight > 0)
+    )
+    shallow = (F.length(line) <= 2 * max_stack_depth) | (F.size(symbols) <= max_stack_depth)
+    rest = [c for c in lines.columns if c != "line"]
+    return lines.where(good & shallow).select(*rest, weight.alias("weight"), symbols.alias("symbols"))
 
 
 def folded_samples(parsed: DataFrame, dso: Column | None = None) -> DataFrame:
-    """Samples of the good records of ``parse_folded``; further columns pass through."""
+    """Samples of ``good_records`` (or of the good rows of ``parse_folded``); other columns pass through."""
+    good = parsed.where(F.col("reject").isNull()).drop("reject", "line") if "reject" in parsed.columns else parsed
     return (
-        parsed.where(F.col("reject").isNull())
-        .withColumn("frames", F.transform("symbols", lambda s: plain_frame(s, dso)))
+        good.withColumn("frames", F.transform("symbols", lambda s: plain_frame(s, dso)))
+        .withColumn(
+            "path",
+            F.transform(
+                "symbols", lambda s: F.struct(s.alias("symbol"), (F.lit(UNKNOWN) if dso is None else dso).alias("dso"))
+            ),
+        )
         .withColumn("event", F.lit(UNKNOWN))
         .withColumn("weight_unit", F.lit(WEIGHT_UNIT))
         .withColumn("weight_source", F.lit(WEIGHT_SOURCE))
-        .drop("symbols", "reject", "line")
+        .drop("symbols")
     )
 
 
@@ -120,7 +145,7 @@ def read_folded(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.struct("block_start", "row_id").alias("sample_seq"),
         "line",
     )
-    return _full_samples(folded_samples(parse_folded(lines)))
+    return _full_samples(folded_samples(good_records(lines)))
 
 
 def read_folded_parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:

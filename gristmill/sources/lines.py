@@ -33,6 +33,15 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select("path", (F.col("line_no") + 1).alias("line_no"), "line")
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add parsed columns that are evaluated once per row.
+
+    A plain projection would be repeated inside every filter the optimizer pushes below it; a
+    generator of one row stays where it is.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def capture_of(path: Column) -> Column:
     """Capture id from a file path: the base name up to its first dot."""
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^/]*)?$", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.sources.lines import capture_of, clean_text, invalid_byte_count, numbered_lines
+from gristmill.sources.lines import capture_of, clean_text, invalid_byte_count, numbered_lines, once
 
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
@@ -25,35 +25,35 @@ def parse_stat(lines: DataFrame) -> DataFrame:
 
     Blank lines and comments get reject ``SKIP``; other rejects are rows that must be warned about.
     """
-    text = F.trim(F.regexp_replace(F.col("line"), r"^\s+|\s+$", ""))
-    fields = F.split(text, ";")
-    value_text = _field(fields, 0)
-    event = _field(fields, 2)
-    lowered = F.lower(value_text)
-    number = _number(value_text)
+    rows = once(lines, __text=F.regexp_replace(F.col("line"), r"^\s+|\s+$", ""))
+    text = F.col("__text")
+    rows = once(rows, __fields=F.split(text, ";"))
+    fields = F.col("__fields")
+    rows = once(rows, __value=_field(fields, 0), event=_field(fields, 2), unit=_field(fields, 1),
+                __run=_field(fields, 3), __percent=F.regexp_replace(_field(fields, 4), r"%+$", ""))
+    lowered = F.lower(F.col("__value"))
     status = (
         F.when(F.contains(lowered, F.lit("not supported")), "not_supported")
         .when(F.contains(lowered, F.lit("not counted")), "not_counted")
         .otherwise("measured")
     )
-    run_time = F.floor(_number(_field(fields, 3)))
-    percent = _number(F.regexp_replace(_field(fields, 4), r"%+$", ""))
+    rows = once(rows, status=status, __number=_number(F.col("__value")), __run_ns=F.floor(_number(F.col("__run"))),
+                __pct=_number(F.col("__percent")))
+    measured, number = F.col("status") == "measured", F.col("__number")
     reject = (
         F.when((text == "") | F.startswith(text, F.lit("#")), "SKIP")
         .when(F.size(fields) < 3, "TOO_FEW_FIELDS")
-        .when(event == "", "NO_EVENT")
-        .when((status == "measured") & number.isNull(), "INVALID_VALUE")
+        .when(F.col("event") == "", "NO_EVENT")
+        .when(measured & number.isNull(), "INVALID_VALUE")
     )
-    return lines.select(
-        "*",
-        event.alias("event"),
-        F.when(status == "measured", number).alias("value"),
-        _field(fields, 1).alias("unit"),
-        F.when(run_time >= 0, run_time).alias("run_time_ns"),
-        F.when((percent >= 0) & (percent <= 100), percent).alias("running_percent"),
-        status.alias("status"),
-        reject.alias("reject"),
+    rows = once(
+        rows,
+        value=F.when(measured, number),
+        run_time_ns=F.when(F.col("__run_ns") >= 0, F.col("__run_ns")),
+        running_percent=F.when((F.col("__pct") >= 0) & (F.col("__pct") <= 100), F.col("__pct")),
+        reject=reject,
     )
+    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
 
 
 def read_stat(spark: SparkSession, path: str | list[str]) -> DataFrame:

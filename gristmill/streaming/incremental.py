@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.hotspots import KEY, path_of
+from gristmill.operators.hotspots import KEY, with_path
 
 
 def stream_hotspots(samples: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def stream_hotspots(samples: DataFrame) -> DataFrame:
     to the batch job.
     """
     occurrences = (
-        samples.select("capture_id", "weight", path_of().alias("path"))
+        with_path(samples)
+        .select("capture_id", "weight", "path")
         .select("*", F.posexplode("path").alias("pos", "key"))
         .select(
             "capture_id",

@@ -53,6 +53,17 @@ def test_folded_rejects(spark, tmp_path):
     assert [(w["line_no"], w["code"]) for w in warnings] == [(3, "MISSING_WEIGHT"), (4, "EMPTY_FRAME")]
 
 
+def test_fast_parse_accepts_the_same_records(spark):
+    lines = [
+        "", "  ", "a 1", " a;b\t2 ", "a;b", "a;;b 3", ";a 3", "a; 5", "a;b; 5", "a;b ;c  7", "a;b c 8", "a +9", "a -9", "a 0", "a 007",
+        "a 9223372036854775807", "a 9223372036854775808", "a 1_000", "a 1.5", "12", " 12 ", "a ; b 4", "x;y 3 4", "a\u00e9;b 6", "; 1", "a;\t1",
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    slow = {r["i"]: (r["weight"], r["symbols"]) for r in FO.parse_folded(df).where("reject is null").collect()}
+    fast = {r["i"]: (r["weight"], r["symbols"]) for r in FO.good_records(df).collect()}
+    assert fast == slow and len(fast) >= 9
+
+
 def test_recursion_counts_once(spark, tmp_path):
     samples = FO.read_folded(spark, _write(tmp_path, "c.folded", "m;walk;walk;leaf 10\nm;walk;leaf 5\n"))
     walk = H.hotspots(samples).where("symbol = 'walk'").collect()[0]
