@@ -37,6 +37,10 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _unsigned(text: Column) -> Column:
     return F.when(text.rlike(_UNSIGNED), text.try_cast("bigint"))
 
@@ -57,7 +61,7 @@ def counters(text: Column) -> Column:
 
 def max_scalar(text: Column) -> Column:
     """One number, null for ``max``."""
-    value = F.trim(F.regexp_replace(text, r"\s+", " "))
+    value = _strip(text)
     return F.when(value != "max", _unsigned(value))
 
 
@@ -101,7 +105,7 @@ def io_limits(text: Column) -> Column:
 
 def cpuset_valid(text: Column) -> Column:
     """True for a sorted, disjoint CPU list such as ``0-3,8``."""
-    value = F.trim(text)
+    value = _strip(text)
     ranges = F.transform(
         F.split(value, ","),
         lambda r: F.struct(
@@ -124,7 +128,7 @@ def parse_snapshots(snapshots: DataFrame) -> DataFrame:
     """Typed snapshot columns from the ``files`` map, and ``invalid`` naming files that did not parse."""
     file = {name: F.try_element_at("files", F.lit(name)) for name in FILES}
     cpu = counters(file["cpu.stat"])
-    quota = F.split(F.trim(file["cpu.max"]), r"\s+")
+    quota = F.split(_strip(file["cpu.max"]), r"\s+")
     invalid = F.array_compact(
         F.array(
             F.when(F.coalesce(F.try_element_at(cpu, F.lit("usage_usec"))).isNull(), "cpu.stat"),
@@ -152,7 +156,7 @@ def parse_snapshots(snapshots: DataFrame) -> DataFrame:
         *[F.try_element_at(cpu, F.lit(c)).alias(f"cpu_{c}") for c in CPU_COUNTERS],
         max_scalar(F.get(quota, F.lit(0))).alias("cpu_quota_usec"),
         _unsigned(F.get(quota, F.lit(1))).alias("cpu_period_usec"),
-        F.trim(file["cpuset.cpus.effective"]).alias("cpuset_cpus_effective"),
+        _strip(file["cpuset.cpus.effective"]).alias("cpuset_cpus_effective"),
         max_scalar(file["memory.current"]).alias("memory_current_bytes"),
         max_scalar(file["memory.max"]).alias("memory_max_bytes"),
         counters(file["memory.events"]).alias("memory_events"),
