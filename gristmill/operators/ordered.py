@@ -30,9 +30,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    fallback = os.path.join(tempfile.gettempdir(), f"gristmill-{os.getuid()}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), f"gristmill-{os.getuid()}")
 
 
 def cut(df: DataFrame) -> DataFrame:

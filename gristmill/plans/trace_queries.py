@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import locks as L
 from gristmill.operators import sched as R
-from gristmill.operators.distribution import FIELDS
 from gristmill.plans import views
 from gristmill.plans.registry import query
 
