@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, packing, sharding, token_counts, topk
+from gristmill.llm import decontaminate, packing, sharding, token_counts, topk, toxicity
 from gristmill.llm.common import new_path, table
 
 SHARDS = 24
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every run encodes all distinct texts."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-cache"))
@@ -35,6 +39,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_token_counts, op4_packing, op7_top_k, op8_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op7_top_k, op8_decontamination)
 }
 SQL: dict[str, str] = {"op7_top_k": topk.top_k_sql(), "op8_decontamination": decontaminate.leaks_sql()}
