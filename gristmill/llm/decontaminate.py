@@ -67,6 +67,13 @@ def _around(tokens: Column, at: Column, reach: int, window: int) -> Column:
     return F.array_join(F.slice(tokens, start + 1, at - start + reach + window), " ")
 
 
+def _once(rows: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """``rows`` with the columns ``made``, computed once: the optimizer would copy their expressions
+    into every place that uses them, lambdas included, but not through a generator."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("made")
+    return rows.select(*keep, one).select(*keep, "made.*")
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -101,21 +108,18 @@ def find_leaks(
     bits = cut(_bit_table(bench)).scalar()
 
     def known(seed: Column) -> Column:
-        tests = [F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1 for p in _probes(seed)]
-        return tests[0] & tests[1]
+        first, second = (
+            F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
+            for p in _probes(seed)
+        )
+        return first & second
 
     placed = _positions(docs.select("doc_id", words(F.col("text")).alias("tokens")), masks)
-    hits = placed.select("doc_id", "tokens", "at", *[s.alias(f"s{m}") for m, s in enumerate(_seeds(F.col("tokens"), F.col("at"), masks))])
-    some = F.lit(False)
-    for m in range(len(masks)):
-        some = some | F.coalesce(known(F.col(f"s{m}")), F.lit(False))
-    hits = hits.where(some).select(
-        "doc_id",
-        "at",
-        _around(F.col("tokens"), F.col("at"), reach, window).alias("around"),
-        F.explode(F.array(*[F.col(f"s{m}") for m in range(len(masks))])).alias("seed"),
-    )
-    joined = hits.where("seed is not null").join(bench, "seed")
+    # one row per seed, so that the generated code tests one seed at a time and stays small
+    seeds = F.explode(F.array(*_seeds(F.col("tokens"), F.col("at"), masks))).alias("seed")
+    hits = placed.select("doc_id", "tokens", "at", seeds).where(known(F.col("seed")))
+    hits = hits.select("doc_id", "at", "seed", _around(F.col("tokens"), F.col("at"), reach, window).alias("around"))
+    joined = hits.join(bench, "seed")
 
     # align both sides at the seed, then count agreements in every window of the common stretch
     before = F.least("at", "item_at", F.lit(window - 1))
@@ -134,14 +138,11 @@ def find_leaks(
             lambda s: F.aggregate(F.slice("equal", s, F.col("need")), F.lit(0), lambda a, x: a + x),
         )
     )
-    compared = (
-        joined.select("doc_id", "item_id", "at", need.alias("need"), cut_mine.alias("mine"), cut_theirs.alias("theirs"))
-        .withColumn("length", length)
-        .where(F.col("length") >= F.col("need"))
-        .withColumn("equal", equal)
-        .withColumn("n_equal", best)
-        .where(F.col("n_equal") >= F.ceil(F.col("need") * agree))
-    )
+    aligned = _once(joined, "doc_id", "item_id", "at", need=need, mine=cut_mine, theirs=cut_theirs)
+    aligned = aligned.withColumn("length", length).where(F.col("length") >= F.col("need"))
+    counted = _once(aligned, "doc_id", "item_id", "at", "need", "length", equal=equal)
+    compared = _once(counted, "doc_id", "item_id", "at", "need", n_equal=best)
+    compared = compared.where(F.col("n_equal") >= F.ceil(F.col("need") * agree))
     return compared.groupBy("doc_id", "item_id").agg(
         F.max("n_equal").alias("n_equal"),
         F.max("need").alias("n_compared"),
