@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, packing, sharding, token_counts, topk, toxicity
+from gristmill.llm import decontaminate, language_id, packing, sharding, token_counts, topk, toxicity
 from gristmill.llm.common import new_path, table
 
 SHARDS = 24
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -39,6 +43,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op7_top_k, op8_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op5_language_id, op7_top_k, op8_decontamination)
 }
 SQL: dict[str, str] = {"op7_top_k": topk.top_k_sql(), "op8_decontamination": decontaminate.leaks_sql()}
