@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import debruijn, decontaminate, language_id, packing, sharding, token_counts, topk, toxicity
+from gristmill.llm import debruijn, decontaminate, jaccard_join, language_id, packing, sharding, token_counts, topk, toxicity
 from gristmill.llm.common import new_path, table
 
 SHARDS = 24
@@ -42,11 +42,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op5_language_id, op7_top_k, op8_decontamination, op10_substring_dedup)
+    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op5_language_id, op7_top_k, op8_decontamination, op9_jaccard_join, op10_substring_dedup)
 }
 SQL: dict[str, str] = {"op7_top_k": topk.top_k_sql(), "op8_decontamination": decontaminate.leaks_sql()}
