@@ -3,18 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import packing
+from gristmill.llm import debruijn, decontaminate, jaccard_join, packing
+from gristmill.llm import toxicity as toxic
 from gristmill.llm.common import table, written
 
 
-def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier learnt from ``labels`` finds toxic go; all others stay as they are."""
+    return toxic.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies the document of the least id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages of 35 words and more that stand elsewhere too go; ``n_chars`` follows the text.
+
+    Documents of which nothing is left go; those without such a passage stay as they are.
+    """
+    cut = debruijn.cut_repeats(docs)
+    n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of ``benchmark`` go; all others stay as they are."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens: one row per piece with its place."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", _packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", sequences),
+]
 
-# tokenizers, learned models and suffix comparisons are beyond SQL
+# a learned classifier, MinHash recall and a tokenizer are beyond SQL
 ORACLE_SQL = None
 
 
