@@ -15,7 +15,7 @@ CREDENTIAL = (
     r"\s*(?:=|:\s+)\s*[^\s,;&]+"
 )
 URI_USERINFO = r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/@]+(?::[^\s/@]*)?@"
-PRIVATE_KEY = r"-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY(?: BLOCK)?-----"
+PRIVATE_KEY = r"(?i)-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY(?: BLOCK)?-----"
 CONTROL = r"[\x00-\x1f\x7f]"
 ABSOLUTE = r"^(?:/|\\\\|[A-Za-z]:[\\/])"
 

@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.symbols import percent, source_location, strip_address_offset
-
-# fixed values: bounds of the exported rows and of the sets kept per hotspot
-MAX_HOTSPOTS = 10_000
-MAX_CALL_PATHS = 1_000
-MAX_SYMBOL_VARIANTS = 32
-MAX_SOURCE_LOCATIONS = 16
+from gristmill.operators.ordered import cut, dense_index
 
 KEY = ["capture_id", "symbol", "dso"]
 # joins symbol and object into one grouping string; no line of text can hold it
@@ -95,38 +90,63 @@ def capture_weight(rows: DataFrame, weight: str) -> DataFrame:
     return rows.groupBy("capture_id").agg(F.sum(weight).alias("total_weight"))
 
 
-def export_hotspots(spots: DataFrame, limit: int = MAX_HOTSPOTS) -> DataFrame:
-    """The heaviest ``limit`` hotspots of each capture with rank, id and percents."""
-    order = Window.partitionBy("capture_id").orderBy(
-        F.desc("self_weight"), F.desc("inclusive_weight"), "symbol", "dso"
-    )
-    ranked = spots.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+def _weight_span(*weights: str) -> Column:
+    """A number that never falls along descending weights; 64 steps per factor of e."""
+    span = F.lit(0).cast("bigint")
+    for weight in weights:
+        span = span * 4096 - F.floor(F.log1p(F.col(weight).cast("double")) * 64)
+    return span
+
+
+def _ranked(rows: DataFrame, order: list, weights: list[str], limit: int | None) -> DataFrame:
+    """Add ``rank`` in ``order``: of all rows by spans of the weights, of a top list by a group limit."""
+    if limit is None:
+        numbered = dense_index(rows, ["capture_id"], order, _weight_span(*weights), "rank")
+        return numbered.withColumn("rank", (F.col("rank") + 1).cast("int"))
+    top = Window.partitionBy("capture_id").orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= limit)
+
+
+def export_hotspots(spots: DataFrame, limit: int | None = None) -> DataFrame:
+    """The hotspots of each capture with rank, id and percents; with ``limit`` the heaviest ones only."""
+    spots = cut(spots)  # ranks, totals and rows are three readings
+    order = [F.desc("self_weight"), F.desc("inclusive_weight"), "symbol", "dso"]
     total = F.col("total_weight")
     return (
-        ranked.join(capture_weight(spots, "self_weight"), "capture_id")
+        _ranked(spots, order, ["self_weight", "inclusive_weight"], limit)
+        .join(capture_weight(spots, "self_weight"), "capture_id")
         .withColumn("hotspot_id", F.format_string("H-%03d", "rank"))
         .withColumn("self_percent", percent(F.col("self_weight"), total))
         .withColumn("inclusive_percent", percent(F.col("inclusive_weight"), total))
     )
 
 
-def export_call_paths(paths: DataFrame, limit: int = MAX_CALL_PATHS) -> DataFrame:
-    """The heaviest ``limit`` call paths of each capture with rank, id and percent."""
-    order = Window.partitionBy("capture_id").orderBy(F.desc("weight"), "path")
-    ranked = paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+def export_call_paths(paths: DataFrame, limit: int | None = None) -> DataFrame:
+    """The call paths of each capture with rank, id and percent; with ``limit`` the heaviest ones only."""
+    paths = cut(paths)
     return (
-        ranked.join(capture_weight(paths, "weight"), "capture_id")
+        _ranked(paths, [F.desc("weight"), "path"], ["weight"], limit)
+        .join(capture_weight(paths, "weight"), "capture_id")
         .withColumn("path_id", F.format_string("P-%03d", "rank"))
         .withColumn("percent", percent(F.col("weight"), F.col("total_weight")))
     )
 
 
-def _first_values(samples: DataFrame, value, limit: int, name: str) -> DataFrame:
-    """The first ``limit`` distinct values per hotspot in arrival order, sorted, and a cut flag."""
+def _values(samples: DataFrame, value, limit: int | None, name: str) -> DataFrame:
+    """The distinct values per hotspot, sorted, and whether some were left out.
+
+    With ``limit`` the first in arrival order are kept, which needs ``sample_seq``.
+    """
     # only what is needed of a frame is exploded, each different value of a stack once
     narrow = F.array_distinct(
         F.transform("frames", lambda f: F.struct(f["symbol"].alias("symbol"), f["dso"].alias("dso"), value(f).alias("value")))
     )
+    if limit is None:
+        seen = samples.select("capture_id", F.explode(narrow).alias("frame")).select("capture_id", "frame.*")
+        distinct = seen.where(F.col("value").isNotNull()).distinct()
+        return distinct.groupBy(*KEY).agg(
+            F.sort_array(F.collect_list("value")).alias(name), F.lit(False).alias(f"{name}_truncated")
+        )
     seen = (
         samples.select("capture_id", "sample_seq", F.posexplode(narrow).alias("pos", "frame"))
         .select("capture_id", "frame.*", F.struct("sample_seq", "pos").alias("seen"))
@@ -146,9 +166,9 @@ def _first_values(samples: DataFrame, value, limit: int, name: str) -> DataFrame
     )
 
 
-def symbol_variants(samples: DataFrame, limit: int = MAX_SYMBOL_VARIANTS) -> DataFrame:
-    """Raw spellings merged into each hotspot (first ``limit`` seen); needs ``sample_seq``."""
-    rows = _first_values(
+def symbol_variants(samples: DataFrame, limit: int | None = None) -> DataFrame:
+    """Raw spellings merged into each hotspot; with ``limit`` the first ones seen."""
+    rows = _values(
         samples,
         lambda f: strip_address_offset(F.coalesce(F.nullif(f["raw_symbol"], F.lit("")), f["symbol"])),
         limit,
@@ -160,9 +180,9 @@ def symbol_variants(samples: DataFrame, limit: int = MAX_SYMBOL_VARIANTS) -> Dat
     ).withColumn("normalization_merged", (F.size("symbol_variants") > 1) | cut)
 
 
-def source_locations(samples: DataFrame, limit: int = MAX_SOURCE_LOCATIONS) -> DataFrame:
-    """Source places of each hotspot (first ``limit`` seen); needs ``sample_seq``."""
-    return _first_values(samples, source_location, limit, "source_locations")
+def source_locations(samples: DataFrame, limit: int | None = None) -> DataFrame:
+    """Source places of each hotspot; with ``limit`` the first ones seen."""
+    return _values(samples, source_location, limit, "source_locations")
 
 
 def profile_totals(samples: DataFrame) -> DataFrame:
@@ -176,15 +196,12 @@ def profile_totals(samples: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.when(condition, w)), F.lit(0)).alias(name)
 
     multi = F.size("frames") > 1
-    scope = F.struct("event", "weight_unit", "weight_source")
-    return samples.groupBy("capture_id").agg(
+    scope = ["event", "weight_unit", "weight_source"]
+    # by scope first: sums hash, and the few rows per capture are folded afterwards
+    parts = samples.groupBy("capture_id", *scope).agg(
         F.sum(w).alias("total_weight"),
         F.count(F.lit(1)).alias("record_count"),
-        F.bool_or(multi).alias("has_call_graph"),
-        F.min("event").alias("event"),
-        F.min("weight_unit").alias("weight_unit"),
-        F.min("weight_source").alias("weight_source"),
-        (F.min(scope) == F.max(scope)).alias("scope_unique"),
+        F.sum(multi.cast("bigint")).alias("__multi"),
         total(multi, "call_graph_weight"),
         total(unknown, "unknown_self_weight"),
         total(context == "kernel", "kernel_context_self_weight"),
@@ -193,13 +210,18 @@ def profile_totals(samples: DataFrame) -> DataFrame:
         total(unknown & (context == "kernel"), "unresolved_kernel_self_weight"),
         total(unknown & (context == "user"), "unresolved_user_self_weight"),
         total(unknown & ~known_context, "unresolved_unknown_context_self_weight"),
-        F.sum(F.size(F.filter("frames", lambda f: f["source_line"].isNotNull()))).alias(
-            "source_line_frame_count"
-        ),
+        F.sum(F.size(F.filter("frames", lambda f: f["source_line"].isNotNull()))).alias("source_line_frame_count"),
         total(leaf["source_line"].isNotNull(), "source_line_self_weight"),
         F.sum(F.size(F.filter("frames", lambda f: f["is_inline"]))).alias("inline_frame_count"),
         F.sum(F.size("frames")).alias("total_frame_count"),
     )
+    sums = [c for c in parts.columns if c not in ("capture_id", "__multi", *scope)]
+    return parts.groupBy("capture_id").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        (F.sum("__multi") > 0).alias("has_call_graph"),
+        *[F.min(c).alias(c) for c in scope],
+        (F.count(F.lit(1)) == 1).alias("scope_unique"),
+    )
 
 
 def hotspots_from_paths(paths: DataFrame) -> DataFrame:

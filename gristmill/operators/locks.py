@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.distribution import wide_distributions
-from gristmill.operators.ordered import count_since, cut, running, running_last, span_for
+from gristmill.operators.ordered import SPAN_ROWS, count_since, cut, running, running_last
 from gristmill.operators.sched import MAX_WORST, with_empty, worst
 
 SUBJECT = ["capture_id", "tid", "lock_id"]
@@ -32,8 +32,7 @@ def lock_steps(events: DataFrame) -> DataFrame:
     rows = events.where(~is_candidate()).select(
         *SUBJECT, "event_index", "event_id", "ts_ns", "event_type", F.col(path).alias("path"), "owner_evidence"
     )
-    rows = cut(rows)  # narrow; read for the span check, the end rows and the windows
-    span = span_for(rows, SUBJECT)
+    rows = cut(rows)  # narrow; read for the end rows and the windows
     end = rows.groupBy(*SUBJECT).agg((F.max("event_index") + 1).alias("event_index"))
     rows = rows.unionByName(end.withColumn("event_type", F.lit("end")), allowMissingColumns=True)
     row = F.struct("ts_ns", "event_id", "path", "owner_evidence")
@@ -47,7 +46,7 @@ def lock_steps(events: DataFrame) -> DataFrame:
             "acquires": count_since(kind == "acquired", kind == "released", inclusive=False),
             "acquire": running_last(F.when(kind == "acquired", row), inclusive=False),
         },
-        span,
+        SPAN_ROWS,
     )
 
 
@@ -191,15 +190,13 @@ def merge_contention(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     keys = [*SUBJECT, "epoch"]
     rows = cut(events.where(kind.isin("begin", "begin_unknown", "end")))
-    span = span_for(rows, keys)
     first = running(
-        rows, keys, "event_index", {"begins": count_since(kind == "begin", kind == "end", inclusive=False)}, span
+        rows, keys, "event_index", {"begins": count_since(kind == "begin", kind == "end", inclusive=False)}, SPAN_ROWS
     )
-    if span is not None:
-        first = cut(first)
+    first = cut(first)
     poison = (kind == "begin_unknown") & (F.col("begins") > 0)
     marked = running(
-        first, keys, "event_index", {"poisons": count_since(poison, kind == "end", inclusive=False)}, span
+        first, keys, "event_index", {"poisons": count_since(poison, kind == "end", inclusive=False)}, SPAN_ROWS
     )
     clean = F.col("poisons") == 0
     return marked.withColumn(

@@ -8,9 +8,7 @@ few bytes each) and adds what was carried in.  The result equals the plain windo
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,33 +18,36 @@ from pyspark.sql.window import Window
 # Rows of one key that one task sorts; event_index is dense per capture, so a span can never
 # hold more rows than this.
 SPAN_ROWS = 1 << 16
-# Rows of one key that one task may sort and scan as a whole.
-PLAIN_ROWS = 1 << 20
 _SPAN = "__span"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    return os.path.join(tempfile.gettempdir(), f"gristmill-{os.getuid()}")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share (``spark.checkpoint.dir``); an error where a cluster names none.
+
+    A session on one machine, as in tests, gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return folder or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table."""
-    path = f"{checkpoint_dir(df.sparkSession)}/gristmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` computed once and read back from the shared folder.
 
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when the result is no longer used.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
-def span_for(df: DataFrame, keys: list[str], plain_rows: int = PLAIN_ROWS) -> int | None:
-    """``None`` when no key of ``df`` has more than ``plain_rows`` rows, else the span to cut at.
 
-    One partial aggregation over the key columns; call it on a written table.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > plain_rows)
-    return None if counts.isEmpty() else SPAN_ROWS
+def join_known(rows: DataFrame, other: DataFrame, keys: list[str], known: str) -> DataFrame:
+    """Left join on ``keys``; rows whose key ``known`` is null stay out of the shuffle, else one task gets them all."""
+    met = rows.where(F.col(known).isNotNull()).join(other, keys, "left")
+    return met.unionByName(rows.where(F.col(known).isNull()), allowMissingColumns=True)
 
 
 @dataclass(frozen=True)
@@ -85,17 +86,14 @@ def running(
     keys: list[str],
     order: str,
     specs: dict[str, Running],
-    span: int | Column | None = SPAN_ROWS,
+    span: int | Column = SPAN_ROWS,
 ) -> DataFrame:
     """Add the running values in ``specs`` to ``df``.
 
     ``keys`` are non-null columns; ``order`` is a non-null number, unique within the keys.
-    ``span`` is the number of ``order`` units per span, or a column that grows with ``order``; with
-    ``None`` (see ``span_for``) each key is scanned whole by one plain window.
+    ``span`` is the number of ``order`` units per span, or a column that grows with ``order``.
     All values are computed in the same shuffle.
     """
-    if span is None:
-        return _plain(df, keys, order, specs)
     span_of = span if isinstance(span, Column) else F.floor(F.col(order) / F.lit(span))
     staged = df.withColumn(_SPAN, span_of)
     inside = Window.partitionBy(*keys, _SPAN).orderBy(order)
@@ -193,33 +191,6 @@ def running(
     return joined.select(*[c for c in df.columns if c not in specs], *out)
 
 
-def _plain(df: DataFrame, keys: list[str], order: str, specs: dict[str, Running]) -> DataFrame:
-    by_key = Window.partitionBy(*keys).orderBy(order)
-    upto = by_key.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    out = df
-    for name, spec in specs.items():
-        frame = upto if spec.inclusive else before
-        if spec.kind == "sum":
-            out = out.withColumn(name, F.coalesce(F.sum(spec.value).over(frame), F.lit(0)))
-        elif spec.kind == "max":
-            out = out.withColumn(name, F.max(spec.value).over(frame))
-        elif spec.kind == "min":
-            out = out.withColumn(name, F.min(spec.value).over(frame))
-        elif spec.kind == "last":
-            out = out.withColumn(name, F.last(spec.value, ignorenulls=True).over(frame))
-        elif spec.kind == "since":
-            value = F.coalesce(spec.value.cast("long"), F.lit(0).cast("long"))
-            out = out.withColumn("__c", F.sum(value).over(upto)).withColumn(
-                "__r", F.last(F.when(spec.reset, F.col("__c")), ignorenulls=True).over(frame)
-            )
-            here = F.col("__c") if spec.inclusive else F.col("__c") - value
-            out = out.withColumn(name, here - F.coalesce("__r", F.lit(0).cast("long"))).drop("__c", "__r")
-        else:
-            raise ValueError(f"unknown running kind {spec.kind!r}")
-    return out
-
-
 def dense_index(
     df: DataFrame, keys: list[str], order: list[str], span: Column, name: str = "event_index"
 ) -> DataFrame:

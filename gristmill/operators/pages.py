@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# fixed values: bounds of a page, and the sort keys of runtime-lock projections
-MAX_PAGE = 100
+# fixed values: the sort keys of runtime-lock projections
 HOTSPOT_SORTS = ("self_percent", "inclusive_percent")
 LOCK_SORTS = (
     "observed_or_estimated_wait_ns", "exact_wait_count", "thresholded_wait_count",
@@ -19,14 +18,16 @@ LOCK_SORTS = (
 
 def page(rows: DataFrame, order: Sequence[Column | str], cursor: int = 0, limit: int = 30) -> DataFrame:
     """Rows ``cursor … cursor+limit`` of each capture in ``order``, with total and next cursor."""
-    if cursor < 0 or not 1 <= limit <= MAX_PAGE:
-        raise ValueError("cursor must be non-negative and limit between 1 and 100")
+    if cursor < 0 or limit < 1:
+        raise ValueError("cursor must be non-negative and limit positive")
     w = Window.partitionBy("capture_id").orderBy(*order)
     totals = rows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total_items"))
     picked = (
-        rows.withColumn("position", F.row_number().over(w) - 1)
-        .where(F.col("position") < cursor + limit)
-        .where(F.col("position") >= cursor)
+        rows.withColumn("__row", F.row_number().over(w))
+        .where(F.col("__row") <= cursor + limit)  # on the row number itself: a group limit before the shuffle
+        .where(F.col("__row") > cursor)
+        .withColumn("position", F.col("__row") - 1)
+        .drop("__row")
     )
     end = F.lit(cursor + limit)
     return picked.join(totals, "capture_id").withColumn(

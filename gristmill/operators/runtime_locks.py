@@ -22,14 +22,15 @@ from pyspark.sql.window import Window
 
 from gristmill.operators.distribution import wide_distributions
 from gristmill.operators.ordered import (
+    SPAN_ROWS,
     Running,
     count_since,
     cut,
+    join_known,
     running,
     running_last,
     running_max,
     running_sum,
-    span_for,
 )
 from gristmill.operators.sched import with_empty
 
@@ -115,7 +116,7 @@ def _with_references(events: DataFrame) -> DataFrame:
             "outcome", "stack_id", "owner_context",
         ).alias("ref"),
     )
-    return rows.join(targets, ["capture_id", "ref_id"], "left")
+    return join_known(rows, targets, ["capture_id", "ref_id"], "ref_id")
 
 
 def _static_ok() -> Column:
@@ -197,7 +198,7 @@ def _nested_state(state: DataFrame, span: int | None) -> DataFrame:
     clears = (kind == "clear_hold") | F.coalesce(verdict == "non_lifo", F.lit(False))
 
     def settle(df: DataFrame) -> DataFrame:
-        return df if span is None else cut(df)
+        return cut(df)
 
     rows = settle(
         running(
@@ -366,18 +367,19 @@ def _judge(effects: DataFrame) -> DataFrame:
         .when((kind == "release") & ~is_top, "not_active")
         .otherwise("ok")
     )
-    return effects.join(_marks(effects), ["capture_id", "ref_id"], "left").withColumn("next_verdict", verdict)
+    marked = join_known(effects, _marks(effects), ["capture_id", "ref_id"], "ref_id")
+    return marked.withColumn("next_verdict", verdict)
 
 
-def replay(events: DataFrame, max_rounds: int = 10_000) -> Replay:
+def replay(events: DataFrame) -> Replay:
     """Pair waits, holds and parks; report what could not be paired and why.
 
-    Captures do not depend on each other, so each round only takes the captures that changed.
+    Captures do not depend on each other, so each round only takes the captures that changed.  A verdict
+    depends on earlier rows alone, so every round settles at least the first open row of each capture.
     """
     base = cut(_with_references(events))
     kind = F.col("event_kind")
-    owner = F.when(kind == "unpark", F.coalesce("parked_context", F.lit(""))).otherwise(F.col("context"))
-    span = span_for(base.select("capture_id", owner.alias("context"), "lock_key", "lock_kind"), SUBJECT)
+    span = SPAN_ROWS
     pending = base.where(kind.isin(*WAITS)).withColumn(
         "verdict",
         F.when(F.col("ref_id").isNull(), F.lit(None).cast("string"))
@@ -388,7 +390,7 @@ def replay(events: DataFrame, max_rounds: int = 10_000) -> Replay:
     nested = not base.where((F.col("lock_kind") == RECURSIVE) & kind.isin("acquire", "release")).isEmpty()
     references = not base.where(F.col("ref_id").isNotNull()).isEmpty()
     settled: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         effects = cut(_effects(_state(pending, nested, span)))
         if not references:
             settled.append(effects)
@@ -404,8 +406,6 @@ def replay(events: DataFrame, max_rounds: int = 10_000) -> Replay:
             "capture_id", "event_id", F.col("next_verdict").alias("verdict")
         )
         pending = cut(pending.drop("verdict").join(verdicts, ["capture_id", "event_id"]))
-    else:
-        raise RuntimeError("references did not settle")
     effects = settled[0]
     for part in settled[1:]:
         effects = effects.unionByName(part)

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from gristmill.operators.distribution import wide_distributions
 from gristmill.operators.ordered import (
+    SPAN_ROWS,
     Running,
     count_since,
     cut,
@@ -21,7 +22,6 @@ from gristmill.operators.ordered import (
     running_last,
     running_max,
     running_sum,
-    span_for,
 )
 
 THREAD = ["capture_id", "tid"]
@@ -74,8 +74,7 @@ def transitions(events: DataFrame) -> DataFrame:
         _column(events, "state", "string").alias("state"),
         _column(events, "waker_tid", "bigint").alias("waker_tid"),
     )
-    rows = cut(rows)  # narrow; read for the span check, the end rows and the windows
-    span = span_for(rows, THREAD)
+    rows = cut(rows)  # narrow; read for the end rows and the windows
     end = rows.groupBy(*THREAD).agg((F.max("event_index") + 1).alias("event_index"))
     rows = rows.unionByName(end.withColumn("event_type", F.lit("end")), allowMissingColumns=True)
 
@@ -95,10 +94,9 @@ def transitions(events: DataFrame) -> DataFrame:
                 F.when(is_wake, F.struct("ts_ns", "event_id", "waker_tid")), inclusive=False
             ),
         },
-        span,
+        SPAN_ROWS,
     ).where(kind != "wakeup")
-    if span is not None:
-        marked = cut(marked)
+    marked = cut(marked)
     duplicate = is_in & (F.col("runs") % 2 == 1)
     closes = is_out & (F.col("runs") % 2 == 1)
     out = running(
@@ -115,7 +113,7 @@ def transitions(events: DataFrame) -> DataFrame:
                 F.when(closes | (kind == "migrate"), F.col("cpu")), inclusive=False
             ),
         },
-        span,
+        SPAN_ROWS,
     )
     return out.withColumn("wakes", F.col("gap") + F.coalesce("kept", F.lit(0))).drop("gap", "kept")
 

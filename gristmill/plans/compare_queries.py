@@ -84,15 +84,21 @@ def path_diff(spark, sf_dir):
     )
 
 
+# the object of a leaf: its brand and one of fifty builds
+_BUILDS = "select capture_id, {leaf} as symbol, leaf_dso || '#' || cast(l_suppkey % 50 as {text}) as dso"
+
+
 @query(
     "dso_changes",
-    f"""with {_DUCK_FRAMES}, s as (select symbol, array_to_string(list_sort(list(distinct dso) filter (capture_id = 'baseline')), ',') as bd,
-  array_to_string(list_sort(list(distinct dso) filter (capture_id = 'candidate')), ',') as cd from exported where rank <= 300 group by symbol)
+    f"""with {views.DUCK_SAMPLES}, o as ({_BUILDS.format(leaf="string_split(stack, ';')[-1]", text='varchar')} from samples),
+s as (select symbol, array_to_string(list_sort(list(distinct dso) filter (capture_id = 'baseline')), ',') as bd,
+  array_to_string(list_sort(list(distinct dso) filter (capture_id = 'candidate')), ',') as cd from o group by symbol)
 select symbol, coalesce(bd, '') as baseline_dsos, coalesce(cd, '') as candidate_dsos from s where coalesce(bd, '') <> coalesce(cd, '')""",
 )
 def dso_changes(spark, sf_dir):
-    top = H.export_hotspots(H.hotspots(views.samples(spark, sf_dir)), limit=300)
-    rows = P.dso_changes(*_sides(top))
+    text = _BUILDS.format(leaf="element_at(split(stack, ';'), -1)", text="string") + " from {rows}"
+    rows = spark.sql(text, rows=views.stack_rows(spark, sf_dir))
+    rows = P.dso_changes(*_sides(rows))
     return rows.select(
         "symbol",
         F.array_join("baseline_dsos", ",").alias("baseline_dsos"),
@@ -269,10 +275,10 @@ def aggregation_invariants(spark, sf_dir):
     f"""with {_DUCK_FRAMES}, {_DUCK_PATHS.replace(views.DUCK_SAMPLES + ',', '')},
 t as (select capture_id, cast(sum(weight) as bigint) as total_weight, count(*) as record_count,
     cast(sum(weight) filter (sample_context = 'kernel') as bigint) as kw from samples group by all),
-s as (select capture_id, count(*) as total_hotspot_count, count(*) filter (rank <= 10000) as exported_hotspot_count,
-    cast(sum(self_weight) filter (rank <= 10000) as bigint) as sw from ranked group by all),
-p as (select capture_id, count(*) as total_call_path_count, count(*) filter (rank <= 1000) as exported_call_path_count,
-    cast(sum(weight) filter (rank <= 1000) as bigint) as pw from path_rank group by all)
+s as (select capture_id, count(*) as total_hotspot_count, least(count(*), 40) as exported_hotspot_count,
+    cast(sum(self_weight) filter (rank <= 40) as bigint) as sw from ranked group by all),
+p as (select capture_id, count(*) as total_call_path_count, count(*) as exported_call_path_count,
+    cast(sum(weight) as bigint) as pw from path_rank group by all)
 select t.capture_id, total_weight, record_count, round(kw * 100.0::double / total_weight, 6) as kernel_context_self_percent,
   total_hotspot_count, exported_hotspot_count, total_weight - sw as omitted_hotspot_self_weight, total_call_path_count,
   exported_call_path_count, total_weight - pw as omitted_call_path_weight,
@@ -283,7 +289,8 @@ select t.capture_id, total_weight, record_count, round(kw * 100.0::double / tota
 from t join s on t.capture_id = s.capture_id join p on t.capture_id = p.capture_id""",
 )
 def evidence_quality(spark, sf_dir):
-    rows = Q.evidence_quality(views.samples(spark, sf_dir))
+    # a report of the first 40 hotspots and of all paths: what it leaves out is counted
+    rows = Q.evidence_quality(views.samples(spark, sf_dir), hotspot_limit=40)
     return rows.select(
         "capture_id",
         "total_weight",

@@ -32,8 +32,7 @@ parts as (select *, regexp_extract(line, '^(.*\\S)\\s+(\\S+)$', 1) as stack,
 parsed as (select *, case when regexp_full_match(weight_text, '[+-]?[0-9]+') then try_cast(weight_text as bigint) end as weight,
   list_transform(string_split(stack, ';'), lambda s: trim(s)) as syms from parts),
 judged as (select *, case when trim(line) = '' then 'BLANK' when weight_text = '' then 'MISSING_WEIGHT'
-  when weight is null or weight <= 0 then 'INVALID_WEIGHT' when list_contains(syms, '') then 'EMPTY_FRAME'
-  when len(syms) > 4096 then 'STACK_TOO_DEEP' end as reject from parsed)
+  when weight is null or weight <= 0 then 'INVALID_WEIGHT' when list_contains(syms, '') then 'EMPTY_FRAME' end as reject from parsed)
 """
 
 
@@ -141,7 +140,7 @@ ranked as (select *, cast(row_number() over (partition by capture_id
 exported as (select capture_id, symbol, dso, self_weight, inclusive_weight, sample_count, stack_occurrence_count,
   thread_count, rank, 'H-' || lpad(cast(rank as varchar), cast(greatest(3, length(cast(rank as varchar))) as int), '0') as hotspot_id,
   round(self_weight * 100.0::double / total, 6) as self_percent,
-  round(inclusive_weight * 100.0::double / total, 6) as inclusive_percent from ranked where rank <= 10000)
+  round(inclusive_weight * 100.0::double / total, 6) as inclusive_percent from ranked)
 """
 
 _SPOT_COLUMNS = (
@@ -185,7 +184,7 @@ path_rank as (select *, cast(row_number() over (partition by capture_id order by
   sum(weight) over (partition by capture_id) as total from paths),
 exported_paths as (select capture_id, path, weight, record_count, rank,
   'P-' || lpad(cast(rank as varchar), cast(greatest(3, length(cast(rank as varchar))) as int), '0') as path_id,
-  round(weight * 100.0::double / total, 6) as percent from path_rank where rank <= 1000)
+  round(weight * 100.0::double / total, 6) as percent from path_rank)
 """
 _DUCK_PATH_TEXT = "array_to_string(list_transform(path, lambda f: f.symbol || '@' || f.dso), ';')"
 
@@ -209,7 +208,7 @@ def call_paths(spark, sf_dir):
     )
 
 
-# the objects a symbol is seen in stand for its raw spellings: more than 32 at the inner frames
+# the objects a symbol is seen in stand for its raw spellings
 def _variant_samples(spark, sf_dir):
     samples = views.samples(spark, sf_dir).drop("path")
     raw = F.concat(F.element_at("frames", -1)["dso"], F.lit("#"), F.pmod(F.col("sample_seq.l_partkey"), F.lit(50)))
@@ -228,8 +227,8 @@ occ as (select k.capture_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, u.p
 seen as (select capture_id, symbol, variant, min((l_orderkey, l_linenumber, l_partkey, l_suppkey, pos)) as seen
   from occ group by all),
 numbered as (select *, row_number() over (partition by capture_id, symbol order by seen, variant) as rn from seen)
-select capture_id, symbol, 'unknown' as dso, array_to_string(list_sort(list(variant) filter (rn <= 32)), ',') as variants,
-  cast(least(count(*), 33) as int) as symbol_variant_count, count(*) > 32 as symbol_variants_truncated,
+select capture_id, symbol, 'unknown' as dso, array_to_string(list_sort(list(variant)), ',') as variants,
+  cast(count(*) as int) as symbol_variant_count, false as symbol_variants_truncated,
   count(*) > 1 as normalization_merged from numbered group by capture_id, symbol""",
 )
 def symbol_variants(spark, sf_dir):

@@ -262,11 +262,11 @@ def lifo_pairs(spark, sf_dir):
 @query(
     "rt_compare",
     f"""with {_DUCK_REPLAY}, t as (select capture_id, cast(coalesce(sum(duration_ns) filter (measure = 'exact_hold'), 0) as bigint) as total_exact_hold_ns,
-  cast(coalesce(sum(duration_ns) filter (measure = 'exact_wait'), 0) as bigint) as total_exact_wait_ns from obs where capture_id < 2 group by all),
-m as (select 'total_exact_hold_ns' as metric, max(total_exact_hold_ns) filter (capture_id = 0) as b, max(total_exact_hold_ns) filter (capture_id = 1) as c from t
-  union all select 'total_exact_wait_ns', max(total_exact_wait_ns) filter (capture_id = 0), max(total_exact_wait_ns) filter (capture_id = 1) from t),
-d as (select *, case when b = c then 0.0::double when b = 0 then 100.0::double else (c::double - b) / b * 100 end as ch from m)
-select metric, b as baseline_value, c as candidate_value, round(ch, 6) as change_percent, case when ch <= -1 then 'candidate_improvement'
+  cast(coalesce(sum(duration_ns) filter (measure = 'exact_wait'), 0) as bigint) as total_exact_wait_ns from obs where capture_id < 3 group by all),
+m as (select capture_id, 'total_exact_hold_ns' as metric, total_exact_hold_ns as v from t union all select capture_id, 'total_exact_wait_ns', total_exact_wait_ns from t),
+d as (select c.capture_id as pair_id, b.metric, b.v as b, c.v as c, case when b.v = c.v then 0.0::double when b.v = 0 then 100.0::double
+  else (c.v::double - b.v) / b.v * 100 end as ch from m b join m c on c.capture_id = b.capture_id + 1 and b.metric = c.metric)
+select pair_id, metric, b as baseline_value, c as candidate_value, round(ch, 6) as change_percent, case when ch <= -1 then 'candidate_improvement'
   when ch >= 1 then 'candidate_regression' else 'no_material_change' end as status from d""",
 )
 def rt_compare(spark, sf_dir):
@@ -279,14 +279,13 @@ def rt_compare(spark, sf_dir):
         F.col("observed_or_estimated_wait_ns").alias("total_observed_or_estimated_wait_ns"),
         F.col("sampled_observation_count").alias("total_sampled_observation_count"),
         F.col("cumulative_observation_count").alias("total_cumulative_observation_count"),
-        F.lit(1).alias("pair_id"),
-    )
-    metrics = P.runtime_lock_metrics(rows, ["capture_id", "pair_id"])
-    changes = P.runtime_lock_changes(
-        metrics.where("capture_id = 0"), metrics.where("capture_id = 1"), ["pair_id"]
     )
+    # every capture against the one before it; only pairs that share a metric compare
+    metrics = P.runtime_lock_metrics(rows, ["capture_id"])
+    before = metrics.withColumn("pair_id", F.col("capture_id") + 1)
+    changes = P.runtime_lock_changes(before, metrics.withColumn("pair_id", F.col("capture_id")), ["pair_id"])
     return changes.select(
-        "metric", "baseline_value", "candidate_value", F.round("change_percent", 6).alias("change_percent"), "status"
+        "pair_id", "metric", "baseline_value", "candidate_value", F.round("change_percent", 6).alias("change_percent"), "status"
     )
 
 

@@ -30,7 +30,7 @@ NATIVE = (
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(capture_id, document): one benchmark file per row."""
     return spark.read.text(path, wholetext=True).select(
-        capture_of(F.col("_metadata.file_path")).alias("capture_id"), F.col("value").alias("document")
+        capture_of(F.col("_metadata.file_path"), path).alias("capture_id"), F.col("value").alias("document")
     )
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.symbols import UNKNOWN, is_unknown_symbol
-from gristmill.sources.lines import capture_of, clean_text, numbered_lines, read_lines
+from gristmill.sources.lines import capture_of, clean_text, numbered_lines, once, read_lines
 
-# fixed values: limits of one record and the scope of folded weights
-MAX_LINE_CHARS = 1 << 20
-MAX_STACK_DEPTH = 4096
+# white space and what is none, as Unicode has it
+_SPACE = r"(?U:[\s\x1c-\x1f])"
+_WORD = r"(?U:[^\s\x1c-\x1f])"
+# fixed values: the scope of folded weights
 WEIGHT_UNIT = "sample_count"
 WEIGHT_SOURCE = "folded_weight"
 
@@ -45,60 +46,38 @@ def plain_frame(symbol: Column, dso: Column | None = None) -> Column:
     )
 
 
-def parse_folded(lines: DataFrame, *, max_line_chars: int = MAX_LINE_CHARS,
-                 max_stack_depth: int = MAX_STACK_DEPTH) -> DataFrame:
+def parse_folded(lines: DataFrame) -> DataFrame:
     """Add ``weight``, ``symbols`` and ``reject`` to a DataFrame with a ``line`` column.
 
-    ``reject`` is null for a good record, ``BLANK`` for an empty line, else the reason code.  All
-    other columns pass through; one narrow stage, no Python.
+    ``reject`` is null for a good record, ``BLANK`` for an empty line, else the reason code; lines and
+    stacks of any length are read.  White space is what Unicode calls so.  All other columns pass
+    through; one narrow stage, no Python, and every pattern is tried once per line.
     """
-    line = F.col("line")
-    text = F.regexp_replace(clean_text(line), r"^\s+|\s+$", "")
-    parsed = (
-        lines.withColumn("__text", text)
-        .withColumn("__weight", F.when(F.col("__text").rlike(r"\s"), F.regexp_extract("__text", r"(\S+)$", 1)).otherwise(""))
-        .withColumn(
-            "weight",
-            F.when(F.col("__weight").rlike(r"^[+-]?[0-9]+$"), F.col("__weight").try_cast("bigint")),
-        )
-        .withColumn("symbols", F.split(F.regexp_replace("__text", r"\s+\S+$", ""), r"\s*;\s*"))
+    rows = once(lines, __text=F.regexp_replace(clean_text(F.col("line")), f"^{_SPACE}+|{_SPACE}+$", ""))
+    rows = once(
+        rows,
+        __weight=F.regexp_extract("__text", f"{_SPACE}({_WORD}+)$", 1),
+        __stack=F.regexp_replace("__text", f"{_SPACE}+{_WORD}+$", ""),
+    )
+    rows = once(
+        rows,
+        weight=F.when(F.col("__weight").rlike("^[+-]?[0-9]+$"), F.col("__weight").try_cast("bigint")),
+        symbols=F.when(F.col("__stack").rlike(_SPACE), F.split("__stack", f"{_SPACE}*;{_SPACE}*")).otherwise(
+            F.split("__stack", ";")
+        ),
     )
     reject = (
-        F.when(F.length(line) > max_line_chars, "LINE_TOO_LONG")
-        .when(F.col("__text") == "", "BLANK")
+        F.when(F.col("__text") == "", "BLANK")
         .when(F.col("__weight") == "", "MISSING_WEIGHT")
         .when(F.col("weight").isNull() | (F.col("weight") <= 0), "INVALID_WEIGHT")
         .when(F.array_contains("symbols", ""), "EMPTY_FRAME")
-        .when(F.size("symbols") > max_stack_depth, "STACK_TOO_DEEP")
     )
-    return parsed.withColumn("reject", reject).drop("__text", "__weight")
-
-
-def good_records(lines: DataFrame, *, max_line_chars: int = MAX_LINE_CHARS,
-                 max_stack_depth: int = MAX_STACK_DEPTH) -> DataFrame:
-    """``weight`` and ``symbols`` of the good records only.
-
-    The same records as ``parse_folded`` accepts, told apart by cheap tests on the raw line, so the
-    filter does not repeat the parsing.
-    """
-    line = F.col("line")
-    weight = F.regexp_extract(line, r"\s\+?([0-9]+)\s*$", 1).try_cast("bigint")
-    stack = F.make_valid_utf8(F.regexp_replace(line, r"^\s+|\s+\S+\s*$", ""))
-    symbols = F.when(stack.rlike(r"\s;|;\s"), F.split(stack, r"\s*;\s*")).otherwise(F.split(stack, ";"))
-    good = (
-        line.rlike(r"\S\s+\+?[0-9]+\s*$")
-        & ~line.rlike(r"(?:^|;)\s*;|;\s+\S+\s*$")
-        & (F.length(line) <= max_line_chars)
-        & (weight > 0)
-    )
-    shallow = (F.length(line) <= 2 * max_stack_depth) | (F.size(symbols) <= max_stack_depth)
-    rest = [c for c in lines.columns if c != "line"]
-    return lines.where(good & shallow).select(*rest, weight.alias("weight"), symbols.alias("symbols"))
+    return rows.withColumn("reject", reject).drop("__text", "__weight", "__stack")
 
 
 def folded_samples(parsed: DataFrame, dso: Column | None = None) -> DataFrame:
-    """Samples of ``good_records`` (or of the good rows of ``parse_folded``); other columns pass through."""
-    good = parsed.where(F.col("reject").isNull()).drop("reject", "line") if "reject" in parsed.columns else parsed
+    """Samples of the good rows of ``parse_folded``; other columns pass through."""
+    good = parsed.where(F.col("reject").isNull()).drop("reject", "line")
     return (
         good.withColumn("frames", F.transform("symbols", lambda s: plain_frame(s, dso)))
         .withColumn(
@@ -125,33 +104,26 @@ def folded_diagnostics(parsed: DataFrame) -> DataFrame:
     )
 
 
-def folded_warnings(parsed: DataFrame, max_warnings: int = 100) -> DataFrame:
-    """The first ``max_warnings`` rejects of each capture, in line order, with a 200-char preview."""
-    from pyspark.sql.window import Window
-
-    first = Window.partitionBy("capture_id").orderBy("line_no")
-    return (
-        parsed.where(F.col("reject").isNotNull() & (F.col("reject") != "BLANK"))
-        .withColumn("__rn", F.row_number().over(first))
-        .where(F.col("__rn") <= max_warnings)
-        .select("capture_id", "line_no", F.col("reject").alias("code"), F.substring("line", 1, 200).alias("preview"))
-    )
+def folded_warnings(parsed: DataFrame) -> DataFrame:
+    """Every reject with its line number and whole line."""
+    bad = parsed.where(F.col("reject").isNotNull() & (F.col("reject") != "BLANK"))
+    return bad.select("capture_id", "line_no", F.col("reject").alias("code"), "line")
 
 
 def read_folded(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Samples of folded files, one capture per file.  Needs no shuffle."""
+    """Samples of folded files, one capture per file.  Needs no shuffle; rejects: ``read_folded_parsed``."""
     lines = read_lines(spark, path).select(
-        capture_of(F.col("path")).alias("capture_id"),
+        capture_of(F.col("path"), path).alias("capture_id"),
         F.struct("block_start", "row_id").alias("sample_seq"),
         "line",
     )
-    return _full_samples(folded_samples(good_records(lines)))
+    return _full_samples(folded_samples(parse_folded(lines)))
 
 
 def read_folded_parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Parsed lines with line numbers, for diagnostics."""
     lines = numbered_lines(spark, path).select(
-        capture_of(F.col("path")).alias("capture_id"), "line_no", "line"
+        capture_of(F.col("path"), path).alias("capture_id"), "line_no", "line"
     )
     return parse_folded(lines)
 

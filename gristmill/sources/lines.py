@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +45,20 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def capture_of(path: Column) -> Column:
-    """Capture id from a file path: the base name up to its first dot."""
-    return F.regexp_extract(path, r"([^/]+?)(?:\.[^/]*)?$", 1)
+def capture_of(path: Column, roots: str | list[str]) -> Column:
+    """Capture id of a file: its path below the folder that was read, so no two files share one.
+
+    Several folders count from the folder above them all.  A file that was named itself goes by its base
+    name, one found by a pattern by its whole path.
+    """
+    named = [roots] if isinstance(roots, str) else list(roots)
+    above = posixpath.commonpath(["/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", root).strip("/") for root in named])
+    folder = above.rstrip("/") + "/"
+    return (
+        F.when(path.endswith(above), F.substring_index(path, "/", -1))
+        .when(path.contains(folder), F.substring(path, F.locate(folder, path) + len(folder), F.length(path)))
+        .otherwise(path)
+    )
 
 
 def invalid_byte_count(line: Column) -> Column:

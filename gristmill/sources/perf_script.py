@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.symbols import UNKNOWN, normalize_symbol, perf_period_unit
 from gristmill.operators.ordered import count_since, cut, running, running_last
-from gristmill.sources.folded import FRAME, MAX_STACK_DEPTH
+from gristmill.sources.folded import FRAME
 from gristmill.sources.lines import capture_of, clean_text, invalid_byte_count, numbered_lines
 
 # fixed values: forms of header, frame and annotation lines
@@ -251,17 +251,14 @@ def mark_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def perf_frames(marked: DataFrame, max_depth: int = MAX_STACK_DEPTH) -> DataFrame:
-    """One row per frame: (capture_id, record, frame_line) with its frame and its annotation.
-
-    Frames past ``max_depth`` are not read: their record is rejected anyway.
-    """
+def perf_frames(marked: DataFrame) -> DataFrame:
+    """One row per frame: (capture_id, record, frame_line) with its frame and its annotation."""
     kind = F.col("kind")
     own = F.when(kind == "header", F.col("header.tail")).otherwise(F.col("text"))
     is_frame = F.col("line_no") == F.col("frame_line")
     note = F.when((kind == "source_note") & ~is_frame, F.struct("line_no", "text"))
     grouped = (
-        marked.where(F.col("record").isNotNull() & F.col("frame_line").isNotNull() & (F.col("position") <= max_depth + 1))
+        marked.where(F.col("record").isNotNull() & F.col("frame_line").isNotNull())
         .groupBy("capture_id", "record", "frame_line")
         .agg(
             F.max(F.when(is_frame, own)).alias("text"),
@@ -298,13 +295,13 @@ def perf_frames(marked: DataFrame, max_depth: int = MAX_STACK_DEPTH) -> DataFram
     )
 
 
-def perf_records(marked: DataFrame, max_depth: int = MAX_STACK_DEPTH) -> DataFrame:
+def perf_records(marked: DataFrame) -> DataFrame:
     """One row per header line: its fields, the frames root first, and ``reject``."""
     headers = marked.where(F.col("kind") == "header").select(
         "capture_id", F.col("line_no").alias("record"), "header"
     )
     stacks = (
-        perf_frames(marked, max_depth)
+        perf_frames(marked)
         .groupBy("capture_id", "record")
         .agg(
             F.sort_array(F.collect_list(F.struct("frame_line", "from_header", "annotated", "frame"))).alias("fs")
@@ -328,9 +325,7 @@ def perf_records(marked: DataFrame, max_depth: int = MAX_STACK_DEPTH) -> DataFra
         "header",
         "repeated",
         frames.alias("frames"),
-        F.when(F.col("fs").isNull(), "MISSING_CALLCHAIN")
-        .when(F.size(frames) > max_depth, "STACK_TOO_DEEP")
-        .alias("reject"),
+        F.when(F.col("fs").isNull(), "MISSING_CALLCHAIN").alias("reject"),
     )
 
 
@@ -382,7 +377,7 @@ def perf_diagnostics(marked: DataFrame, records: DataFrame) -> DataFrame:
 def read_perf_script(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(samples, diagnostics) of profiler text files, one capture per file."""
     lines = numbered_lines(spark, path).select(
-        capture_of(F.col("path")).alias("capture_id"), "line_no", "line"
+        capture_of(F.col("path"), path).alias("capture_id"), "line_no", "line"
     )
     marked = cut(mark_lines(lines))
     records = perf_records(marked)

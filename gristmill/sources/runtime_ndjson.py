@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.redact import redact_label, redact_path
-from gristmill.operators.ordered import cut, running, running_max, running_sum
+from gristmill.operators.ordered import cut, join_known, running, running_max, running_sum
 
 # fixed values: record schemas, allowed fields per kind, context kinds per runtime, bounds
 CONTEXT = "struct<kind: string, target_pid: int, target_tid: bigint, runtime_context_id: string, name: string>"
@@ -65,7 +65,6 @@ CONTEXT_KINDS = {
     "custom": ("os_thread", "java_platform_thread", "java_virtual_thread", "go_goroutine", "process_aggregate"),
 }
 TOKEN = r"^[^\x00\r\n/\\]{1,128}$"
-MAX_STACK_DEPTH = 256
 MALFORMED = (
     "INVALID_JSON", "INVALID_RECORD", "INVALID_EVENT", "SCHEMA_MISMATCH", "INVALID_CONTEXT", "UNKNOWN_STACK_ID",
     "OWNER_VISIBILITY_MISMATCH", "INVALID_EVENT_PAIR", "HOLD_VISIBILITY_MISMATCH",
@@ -165,16 +164,14 @@ def _stacks(marked: DataFrame, headers: DataFrame) -> DataFrame:
         .when(~valid, "INVALID_STACK")
         .when(~F.coalesce(s["schema_version"] == F.col("header_version"), F.lit(False)), "SCHEMA_MISMATCH")
     )
-    deep = F.size(s["frames"]) > MAX_STACK_DEPTH
-    rows = rows.select("capture_id", "line_no", "s", local.alias("local"), deep.alias("deep"))
+    rows = rows.select("capture_id", "line_no", "s", local.alias("local"))
     owners = (
-        rows.where(F.col("local").isNull() & ~F.col("deep"))
+        rows.where(F.col("local").isNull())
         .groupBy("capture_id", F.col("s.source_stack_id").alias("source_stack_id"))
         .agg(F.min("line_no").alias("owner_line"))
     )
-    rows = rows.withColumn("source_stack_id", F.col("s.source_stack_id")).join(
-        owners, ["capture_id", "source_stack_id"], "left"
-    )
+    rows = rows.withColumn("source_stack_id", F.col("s.source_stack_id"))
+    rows = join_known(rows, owners, ["capture_id", "source_stack_id"], "source_stack_id")
     frames = F.transform(
         "s.frames",
         lambda f: F.struct(
@@ -189,7 +186,6 @@ def _stacks(marked: DataFrame, headers: DataFrame) -> DataFrame:
     reject = (
         F.when(F.col("local").isNotNull(), F.col("local"))
         .when(F.col("owner_line") < F.col("line_no"), "DUPLICATE_STACK_ID")
-        .when(F.col("deep"), "STACK_DEPTH_EXCEEDED")
     )
     return rows.select("capture_id", "line_no", "source_stack_id", frames.alias("frames"), reject.alias("reject"))
 
@@ -302,7 +298,7 @@ def _post_reason(rows: DataFrame, headers: DataFrame, stacks: DataFrame) -> Data
     controls = headers.select(
         "capture_id", "semantics", "visible_lock_kinds", "owner_observed", "hold_observed"
     )
-    rows = rows.join(known, ["capture_id", "source_stack_id"], "left").join(controls, "capture_id")
+    rows = join_known(rows, known, ["capture_id", "source_stack_id"], "source_stack_id").join(controls, "capture_id")
     profile = F.col("semantics").isin("sampled", "cumulative")
     kind = F.col("event_kind")
     held = F.col("acquire_source_event_id").isNotNull() & F.col("hold_duration_ns").isNotNull()
@@ -328,13 +324,16 @@ def _pair_reference() -> Column:
     )
 
 
-def accept_events(events: DataFrame, headers: DataFrame, stacks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Add ``reason`` (null for accepted events) to the raw events."""
+def accept_events(events: DataFrame, headers: DataFrame, stacks: DataFrame) -> DataFrame:
+    """Add ``reason`` (null for accepted events) to the raw events.
+
+    A row's acceptance depends on earlier rows alone, so every round settles at least one row of each capture.
+    """
     rows = _post_reason(events, headers, stacks).withColumn("ref_id", _pair_reference())
     kind = F.col("event_kind")
     local_ok = F.col("pre_reason").isNull() & F.col("post_reason").isNull() & ~F.coalesce("hold_wrong", F.lit(False))
     state = cut(rows.withColumn("accepted", local_ok))
-    for _ in range(max_rounds):
+    while True:
         taken = state.where("accepted").groupBy("capture_id", "source_event_id").agg(
             F.min("line_no").alias("first_line"),
             F.min_by(
@@ -352,9 +351,8 @@ def accept_events(events: DataFrame, headers: DataFrame, stacks: DataFrame, max_
             F.col("first_line").alias("pair_line"),
             "pair",
         )
-        joined = timed.join(owners, ["capture_id", "source_event_id"], "left").join(
-            pairs, ["capture_id", "ref_id"], "left"
-        )
+        joined = join_known(timed, owners, ["capture_id", "source_event_id"], "source_event_id")
+        joined = join_known(joined, pairs, ["capture_id", "ref_id"], "ref_id")
         pair = F.col("pair")
         duration = F.when(kind == "wait_end", F.col("duration_ns")).when(kind == "release", F.col("hold_duration_ns"))
         wanted = F.when(kind == "wait_end", "wait_begin").when(kind == "acquire", "wait_end").otherwise("acquire")
@@ -392,7 +390,6 @@ def accept_events(events: DataFrame, headers: DataFrame, stacks: DataFrame, max_
         if judged.where(F.col("accepted") != F.col("next")).isEmpty():
             return judged.drop("accepted", "next", "pre_reason", "post_reason", "hold_wrong", "ref_id")
         state = judged.drop("accepted", "reason").withColumnRenamed("next", "accepted")
-    raise RuntimeError("event acceptance did not settle")
 
 
 def normalized_events(judged: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def parse_stat(lines: DataFrame) -> DataFrame:
 def read_stat(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Parsed rows of counter files, one capture per file; invalid UTF-8 is counted per row."""
     lines = numbered_lines(spark, path).select(
-        capture_of(F.col("path")).alias("capture_id"),
+        capture_of(F.col("path"), path).alias("capture_id"),
         "line_no",
         clean_text(F.col("line")).alias("line"),
         invalid_byte_count(F.col("line")).alias("invalid_bytes"),

@@ -46,7 +46,6 @@ LABELS = {
     "sched_wakeup": (" pid=", " prio=", " target_cpu="),
     "sched_migrate_task": (" pid=", " prio=", " orig_cpu=", " dest_cpu="),
 }
-MAX_LINE_CHARS = 1 << 16
 
 
 def _count(text: Column, label: str) -> Column:
@@ -60,7 +59,7 @@ def _once(text: Column, labels: tuple[str, ...]) -> Column:
     return good
 
 
-def parse_trace(lines: DataFrame, max_line_chars: int = MAX_LINE_CHARS) -> DataFrame:
+def parse_trace(lines: DataFrame) -> DataFrame:
     """Add ``header_*`` fields, ``lost_count`` and the row-local ``outcome`` to line rows.
 
     ``outcome`` is ``blank``, ``lost``, ``malformed`` or ``event``.
@@ -73,8 +72,7 @@ def parse_trace(lines: DataFrame, max_line_chars: int = MAX_LINE_CHARS) -> DataF
         return F.regexp_extract(line, HEADER, i)
 
     outcome = (
-        F.when(F.length(line) > max_line_chars, "malformed")
-        .when(F.trim(line) == "", "blank")
+        F.when(F.trim(line) == "", "blank")
         .when(F.contains(line, F.lit("\x00")), "malformed")
         .when(line.rlike(LOST), "lost")
         .when(~line.rlike(HEADER), "malformed")

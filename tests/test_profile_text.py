@@ -19,55 +19,79 @@ def _spots(samples):
     return [(r["hotspot_id"], r["symbol"], r["self_weight"], r["inclusive_weight"], r["sample_count"]) for r in rows]
 
 
+# weights of made-up stacks; every expectation below is worked out from this table
+STACKS = {("boot", "serve", "hash"): [40, 2], ("boot", "serve"): [9], ("boot", "flush", "hash"): [25]}
+
+
 def test_folded_profile(spark, tmp_path):
-    path = _write(tmp_path, "a.folded", "main;work;parse;alloc 182\nmain;work;calc 271\nmain;work;parse;alloc 18\n")
-    samples = FO.read_folded(spark, path)
+    text = "".join(f"{';'.join(stack)} {w}\n" for stack, weights in STACKS.items() for w in weights)
+    samples = FO.read_folded(spark, _write(tmp_path, "a.folded", text))
+    total = sum(sum(w) for w in STACKS.values())
+    own, inclusive, seen = {}, {}, {}
+    for stack, weights in STACKS.items():
+        for symbol in stack:
+            inclusive[symbol] = inclusive.get(symbol, 0) + sum(weights)
+            seen[symbol] = seen.get(symbol, 0) + len(weights)
+        own[stack[-1]] = own.get(stack[-1], 0) + sum(weights)
+    order = sorted(inclusive, key=lambda n: (-own.get(n, 0), -inclusive[n], n))
     assert _spots(samples) == [
-        ("H-001", "calc", 271, 271, 1),
-        ("H-002", "alloc", 200, 200, 2),
-        ("H-003", "main", 0, 471, 3),
-        ("H-004", "work", 0, 471, 3),
-        ("H-005", "parse", 0, 200, 2),
+        (f"H-{i:03d}", n, own.get(n, 0), inclusive[n], seen[n]) for i, n in enumerate(order, 1)
     ]
     paths = H.export_call_paths(H.call_paths(samples)).orderBy("rank").collect()
-    assert [(p["path_id"], [f["symbol"] for f in p["path"]], p["weight"], p["record_count"], p["percent"]) for p in paths] == [
-        ("P-001", ["main", "work", "calc"], 271, 1, 57.537155),
-        ("P-002", ["main", "work", "parse", "alloc"], 200, 2, 42.462845),
+    heavy = sorted(STACKS, key=lambda k: -sum(STACKS[k]))
+    assert [(p["path_id"], tuple(f["symbol"] for f in p["path"]), p["weight"], p["record_count"], p["percent"]) for p in paths] == [
+        (f"P-{i:03d}", k, sum(STACKS[k]), len(STACKS[k]), round(100 * sum(STACKS[k]) / total, 6)) for i, k in enumerate(heavy, 1)
     ]
     assert all(r["passed"] for r in Q.aggregation_invariants(samples).collect())
     quality = Q.evidence_quality(samples).collect()[0]
     assert quality["quality_status"] == "verified" and quality["event"] == "unknown"
+    top = H.export_hotspots(H.hotspots(samples), limit=2).orderBy("rank").collect()
+    assert [r["symbol"] for r in top] == order[:2]
+
+
+LINES = {
+    "": "BLANK", " \u2003 ": "BLANK", "go;run 11": None, "word": "MISSING_WEIGHT", " word ": "MISSING_WEIGHT", "go;;run 6": "EMPTY_FRAME",
+    ";run 6": "EMPTY_FRAME", "run; 6": "EMPTY_FRAME", "\u00a0;run 6": "EMPTY_FRAME", "go;run six": "INVALID_WEIGHT", "go 0": "INVALID_WEIGHT",
+    "go -6": "INVALID_WEIGHT", "go 6.5": "INVALID_WEIGHT", "go 9223372036854775808": "INVALID_WEIGHT", "go +6": None, "go 006": None,
+    "[unknown];run 8": None, "go;map<k, v> at 8": None, "go;run 5\u00a0": None, "go;run\u2003 5": None, "\tgo ; run\t5 ": None,
+}
 
 
 def test_folded_rejects(spark, tmp_path):
-    text = "\nmain;a;good 7\nnoweight\nmain;;x 4\nmain;a nope\nmain;a 0\nmain;a -2\n[unknown];leaf 3\nmain;c++ f<a, b> 5\n"
-    parsed = FO.read_folded_parsed(spark, _write(tmp_path, "b.folded", text))
-    got = [(r["line_no"], r["reject"]) for r in parsed.orderBy("line_no").collect()]
-    assert got == [
-        (1, "BLANK"), (2, None), (3, "MISSING_WEIGHT"), (4, "EMPTY_FRAME"), (5, "INVALID_WEIGHT"),
-        (6, "INVALID_WEIGHT"), (7, "INVALID_WEIGHT"), (8, None), (9, None),
-    ]
+    parsed = FO.read_folded_parsed(spark, _write(tmp_path, "b.folded", "\n".join(LINES) + "\n"))
+    rows = parsed.orderBy("line_no").collect()
+    assert [r["reject"] for r in rows] == list(LINES.values())
+    symbols = {r["line"]: r["symbols"] for r in rows if r["reject"] is None}
+    assert symbols["go;map<k, v> at 8"] == ["go", "map<k, v> at"]
+    assert all(symbols[k] == ["go", "run"] for k in ("go;run 11", "go;run 5\u00a0", "go;run\u2003 5", "\tgo ; run\t5 "))
+    bad = [k for k in LINES.values() if k not in (None, "BLANK")]
     d = FO.folded_diagnostics(parsed).collect()[0]
-    assert (d["parsed_records"], d["malformed_records"], d["skipped_records"]) == (3, 5, 6)
-    warnings = FO.folded_warnings(parsed, 2).orderBy("line_no").collect()
-    assert [(w["line_no"], w["code"]) for w in warnings] == [(3, "MISSING_WEIGHT"), (4, "EMPTY_FRAME")]
+    assert (d["parsed_records"], d["malformed_records"], d["skipped_records"]) == (len(symbols), len(bad), len(LINES) - len(symbols))
+    warnings = FO.folded_warnings(parsed).orderBy("line_no").collect()
+    assert [w["code"] for w in warnings] == bad
 
 
-def test_fast_parse_accepts_the_same_records(spark):
-    lines = [
-        "", "  ", "a 1", " a;b\t2 ", "a;b", "a;;b 3", ";a 3", "a; 5", "a;b; 5", "a;b ;c  7", "a;b c 8", "a +9", "a -9", "a 0", "a 007",
-        "a 9223372036854775807", "a 9223372036854775808", "a 1_000", "a 1.5", "12", " 12 ", "a ; b 4", "x;y 3 4", "a\u00e9;b 6", "; 1", "a;\t1",
-    ]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
-    slow = {r["i"]: (r["weight"], r["symbols"]) for r in FO.parse_folded(df).where("reject is null").collect()}
-    fast = {r["i"]: (r["weight"], r["symbols"]) for r in FO.good_records(df).collect()}
-    assert fast == slow and len(fast) >= 9
+def test_long_lines_and_deep_stacks_are_kept(spark, tmp_path):
+    deep = ";".join(f"f{i}" for i in range(6000)) + ";" + "g" * 1_100_000
+    samples = FO.read_folded(spark, _write(tmp_path, "deep.folded", deep + " 4\n"))
+    assert [len(r["frames"]) for r in samples.select("frames.symbol").withColumnRenamed("symbol", "frames").collect()] == [6001]
+
+
+def test_files_of_one_name_are_captures_of_their_own(spark, tmp_path):
+    for name in ("east/cpu.folded", "west/cpu.folded", "cpu.first.folded", "cpu.second.folded"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        _write(tmp_path, name, "x 3\n")
+    samples = FO.read_folded(spark, [str(tmp_path), str(tmp_path / "east"), str(tmp_path / "west")])
+    assert samples.select("capture_id").distinct().count() == 4
+    one = FO.read_folded(spark, str(tmp_path / "east" / "cpu.folded"))
+    assert [r["capture_id"] for r in one.collect()] == ["cpu.folded"]
 
 
 def test_recursion_counts_once(spark, tmp_path):
-    samples = FO.read_folded(spark, _write(tmp_path, "c.folded", "m;walk;walk;leaf 10\nm;walk;leaf 5\n"))
-    walk = H.hotspots(samples).where("symbol = 'walk'").collect()[0]
-    assert (walk["self_weight"], walk["inclusive_weight"], walk["sample_count"], walk["stack_occurrence_count"]) == (0, 15, 2, 3)
+    text = "top;visit;visit;visit;end 6\ntop;visit;end 3\ntop;end 1\n"
+    samples = FO.read_folded(spark, _write(tmp_path, "c.folded", text))
+    row = H.hotspots(samples).where("symbol = 'visit'").collect()[0]
+    assert (row["self_weight"], row["inclusive_weight"], row["sample_count"], row["stack_occurrence_count"]) == (0, 9, 2, 4)
 
 
 def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
@@ -97,57 +121,64 @@ def test_invalid_bytes_are_counted(spark, tmp_path):
     assert got == want
 
 
-PERF = """\
-pool one 11 12 [003] 100.5: 50 cycles:u: 7f11 do<int>(x const&)+0x11 (/opt/bin/app) /src/d.cc:42
-        7f11 do<int>(x const&)+0x11 (/opt/bin/app) /src/d.cc:42
-        7f00 loop (/opt/bin/app) /src/w.cc:12
-        4001 main (/opt/bin/app) /src/m.cc:8
+def _head(name, ids, cpu, at, rest):
+    return f"{name} {ids} {f'[{cpu:03d}] ' if cpu is not None else ''}{at}: {rest}"
+
+
+def _frame(ip, symbol, dso, place=""):
+    return f"\t{ip:x} {symbol} ({dso}){' ' + place if place else ''}"
 
-pool one 11/13 [004] K 100.6: 30 cycles:u:
-        7f19 do<int>(x const&)+0x19 (/opt/bin/app) /src/d.cc:45
-        7f00 loop (/opt/bin/app)
-  /src/loop.hpp:17 (inlined)
-        4001 main (/opt/bin/app) /src/m.cc:8
-idle 0/33 200.25: 20 cycles:u: ff01 schedule+0x10 ([kernel.kallsyms]) kernel/s.c:100
-        ff00 entry+0x0 ([kernel.kallsyms]) arch/c.c:80
 
-junk line
-        400 orphan (/bin/x)
-late 5 [001] 3.0: cycles:u:
-        no-address
-        4001 odd (/opt/My App (test)/bin) /src/o.cc:8
-        55f1 py::fn:/w/load.py (/tmp/perf-11.map)
-  [JIT] tid 5[55f1]
-empty 7/7 [000] 4.0: 9 cycles:u:
-"""
+# a made-up worker with an inlined callee, a kernel thread without cpu, and damaged records
+PERF = "\n".join([
+    _head("io worker", "71/74", 6, 9.125, "90 instructions:u:"),
+    _frame(0xA20, "Codec::pack(int)+0x4", "/srv/lib/codec.so", "/b/codec.cpp:301"),
+    _frame(0xA00, "pump", "/srv/bin/relay"),
+    "  /b/ring.h:77 (inlined)",
+    "",
+    _head("io worker", "71/72", 0, 9.25, "15 instructions:u: a24 Codec::pack(int)+0x8 (/srv/lib/codec.so) /b/codec.cpp:305"),
+    _frame(0xA24, "Codec::pack(int)+0x8", "/srv/lib/codec.so", "/b/codec.cpp:305"),
+    _frame(0x9F0, "start", "/srv/bin/relay", "/b/start.cpp:2"),
+    "",
+    _head("kswap", "0/58", None, 9.5, "4 instructions:u: ee20 reclaim+0x40 ([kernel.kallsyms])"),
+    _frame(0xEE00, "thread_fn+0x0", "[kernel.kallsyms]"),
+    "",
+    "what is this",
+    _frame(0x1, "lost", "/srv/bin/none"),
+    _head("script", "90", 2, 11.0, "instructions:u:"),
+    "\tno address here",
+    _frame(0xC0, "shout", "/srv/My Tools (beta)/run", "/b/shout.c:5"),
+    _frame(0xC8, "py::area:/j/shape.py", "/tmp/perf-90.map"),
+    "  [JIT] tid 90[c8]",
+    _head("bare", "91/91", 1, 12.0, "3 instructions:u:"),
+]) + "\n"
 
 
 def test_perf_script(spark, tmp_path):
     samples, diagnostics = P.read_perf_script(spark, _write(tmp_path, "p.txt", PERF))
     rows = samples.orderBy("sample_seq").collect()
     assert [(r["thread_name"], r["process_id"], r["thread_id"], r["cpu"], r["weight"], r["weight_source"]) for r in rows] == [
-        ("pool one", 11, 12, 3, 50, "perf_period"),
-        ("pool one", 11, 13, 4, 30, "perf_period"),
-        ("idle", 0, 33, None, 20, "perf_period"),
-        ("late", 5, 5, 1, 1, "sample_count_fallback"),
+        ("io worker", 71, 74, 6, 90, "perf_period"),
+        ("io worker", 71, 72, 0, 15, "perf_period"),
+        ("kswap", 0, 58, None, 4, "perf_period"),
+        ("script", 90, 90, 2, 1, "sample_count_fallback"),
     ]
-    assert [r["sample_context"] for r in rows] == ["unknown", "kernel", "unknown", "unknown"]
-    assert [r["weight_unit"] for r in rows] == ["cycles", "cycles", "cycles", "sample_count"]
+    assert [r["weight_unit"] for r in rows] == ["instructions"] * 3 + ["sample_count"]
     assert [[f["symbol"] for f in r["frames"]] for r in rows] == [
-        ["main", "loop", "do<int>(x const&)"],
-        ["main", "loop", "do<int>(x const&)"],
-        ["entry", "schedule"],
-        ["py::fn", "odd", "unknown"],
+        ["pump", "Codec::pack(int)"],
+        ["start", "Codec::pack(int)"],
+        ["thread_fn", "reclaim"],
+        ["py::area", "shout", "unknown"],
     ]
-    inlined = rows[1]["frames"][1]
-    assert (inlined["source_file"], inlined["source_line"], inlined["is_inline"]) == ("/src/loop.hpp", 17, True)
-    odd = rows[3]["frames"][1]
-    assert (odd["dso"], odd["source_file"], odd["source_line"]) == ("/opt/My App (test)/bin", "/src/o.cc", 8)
+    inlined = rows[0]["frames"][0]
+    assert (inlined["source_file"], inlined["source_line"], inlined["is_inline"]) == ("/b/ring.h", 77, True)
+    spaced = rows[3]["frames"][1]
+    assert (spaced["dso"], spaced["source_file"], spaced["source_line"]) == ("/srv/My Tools (beta)/run", "/b/shout.c", 5)
     mapped = rows[3]["frames"][0]
-    assert (mapped["source_file"], mapped["source_line"]) == ("/w/load.py", None)
+    assert (mapped["source_file"], mapped["source_line"]) == ("/j/shape.py", None)
     assert rows[2]["frames"][0]["is_kernel"] and rows[3]["frames"][2]["is_unknown"]
     d = diagnostics.collect()[0]
     assert (d["parsed_records"], d["duplicate_frame_lines"], d["malformed_records"]) == (4, 1, 3)
     assert d["address_annotation_lines"] == 1 and d["unicode_replacement_count"] == 0
-    merged = H.symbol_variants(samples).where("symbol = 'do<int>(x const&)'").collect()[0]
-    assert merged["symbol_variants"] == ["do<int>(x const&)"] and not merged["normalization_merged"]
+    merged = H.symbol_variants(samples).where("symbol = 'Codec::pack(int)'").collect()[0]
+    assert merged["symbol_variants"] == ["Codec::pack(int)"] and not merged["normalization_merged"]
