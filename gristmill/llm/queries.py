@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import debruijn, decontaminate, jaccard_join, language_id, packing, sharding, token_counts, topk, toxicity
+from gristmill.llm import debruijn, decontaminate, jaccard_join, language_id, packing, sharding, suffix_array, token_counts, topk, toxicity
 from gristmill.llm.common import new_path, table
 
 SHARDS = 24
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -51,6 +55,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op5_language_id, op7_top_k, op8_decontamination, op9_jaccard_join, op10_substring_dedup)
+    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op5_language_id, op6_suffix_dedup, op7_top_k, op8_decontamination, op9_jaccard_join, op10_substring_dedup)
 }
 SQL: dict[str, str] = {"op7_top_k": topk.top_k_sql(), "op8_decontamination": decontaminate.leaks_sql()}
