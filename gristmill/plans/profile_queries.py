@@ -242,19 +242,30 @@ def symbol_variants(spark, sf_dir):
     )
 
 
+def mixed_samples(spark, sf_dir):
+    """Samples whose candidate side holds a second event, and whose leaf is unknown at every tenth weight."""
+    rows = views.samples(spark, sf_dir)
+    second = (F.col("capture_id") == "candidate") & (F.col("sample_seq.l_linenumber") == 7)
+    leaf = F.element_at("frames", -1).withField("is_unknown", F.col("weight") % 10 == 0)
+    frames = F.concat(F.slice("frames", 1, F.size("frames") - 1), F.array(leaf))
+    return rows.withColumn("event", F.when(second, "other").otherwise(F.col("event"))).withColumn("frames", frames)
+
+
 @query(
     "profile_totals",
     f"""with {views.DUCK_SAMPLES} select capture_id, cast(sum(weight) as bigint) as total_weight, count(*) as record_count,
-  bool_or(stack like '%;%') as has_call_graph, true as scope_unique,
+  bool_or(stack like '%;%') as has_call_graph, not bool_or(capture_id = 'candidate' and l_linenumber = 7) as scope_unique,
   cast(coalesce(sum(weight) filter (stack like '%;%'), 0) as bigint) as call_graph_weight,
   cast(coalesce(sum(weight) filter (sample_context = 'kernel'), 0) as bigint) as kernel_context_self_weight,
   cast(coalesce(sum(weight) filter (sample_context = 'user'), 0) as bigint) as user_context_self_weight,
   cast(coalesce(sum(weight) filter (sample_context = 'unknown'), 0) as bigint) as unknown_context_self_weight,
-  cast(0 as bigint) as unknown_self_weight,
+  cast(coalesce(sum(weight) filter (weight % 10 = 0), 0) as bigint) as unknown_self_weight,
+  cast(coalesce(sum(weight) filter (weight % 10 = 0 and sample_context = 'kernel'), 0) as bigint) as unresolved_kernel_self_weight,
+  cast(coalesce(sum(weight) filter (weight % 10 = 0 and sample_context = 'user'), 0) as bigint) as unresolved_user_self_weight,
   cast(sum(len(string_split(stack, ';'))) as bigint) as total_frame_count from samples group by capture_id""",
 )
 def profile_totals(spark, sf_dir):
-    return H.profile_totals(views.samples(spark, sf_dir)).select(
+    return H.profile_totals(mixed_samples(spark, sf_dir)).select(
         "capture_id",
         "total_weight",
         "record_count",
@@ -265,5 +276,7 @@ def profile_totals(spark, sf_dir):
         "user_context_self_weight",
         "unknown_context_self_weight",
         "unknown_self_weight",
+        "unresolved_kernel_self_weight",
+        "unresolved_user_self_weight",
         "total_frame_count",
     )
