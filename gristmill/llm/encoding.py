@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +31,7 @@ class Encoder:
     library itself; the ids are the library's in either case (tested against it)."""
 
     def __init__(self, path: str) -> None:
-        self.library = tokenizers.Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", []) if x.get("special")}
@@ -49,6 +49,11 @@ class Encoder:
                 "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
             )
 
+    @cached_property
+    def library(self) -> tokenizers.Tokenizer:
+        """Loaded when the first text needs it."""
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or _ODD.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
