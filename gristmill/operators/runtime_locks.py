@@ -471,7 +471,7 @@ def _parks(base: DataFrame, span: int | None) -> DataFrame:
         (kind == "park") | ((kind == "unpark") & F.col("parked_context").isNotNull())
     ).withColumn("park_context", F.when(kind == "park", F.col("context")).otherwise(F.col("parked_context")))
     end = rows.groupBy(*keys).agg(
-        (F.max("event_index") + 1).alias("event_index"), F.first("lock_id").alias("lock_id")
+        (F.max("event_index") + 1).alias("event_index"), F.max("lock_id").alias("lock_id")
     )
     rows = rows.unionByName(end.withColumn("event_kind", F.lit("end")), allowMissingColumns=True)
     state = running(
@@ -500,7 +500,7 @@ def _open_at_end(effects: DataFrame, span: int | None) -> DataFrame:
         "ref_id", "ref", "verdict",
     )
     end = rows.groupBy(*SUBJECT).agg(
-        (F.max("event_index") + 1).alias("event_index"), F.first("lock_id").alias("lock_id")
+        (F.max("event_index") + 1).alias("event_index"), F.max("lock_id").alias("lock_id")
     )
     probe = rows.unionByName(end.withColumn("event_kind", F.lit("end")), allowMissingColumns=True)
     state = _state(probe, False, span).where(kind == "end")

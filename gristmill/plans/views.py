@@ -33,8 +33,8 @@ DUCK_EPOCH = "epoch_us(ts)"
 SPARK_K = "get_json_object(props, '$.k')"
 DUCK_K = "json_extract_string(props, '$.k')"
 
-# one day of nanoseconds: the bucket inside which rows of one capture are numbered
-_NUMBERING_NS = 86_400_000_000_000
+# one hour of nanoseconds: the bucket inside which rows of one capture are numbered
+_NUMBERING_NS = 3_600_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,9 +11,10 @@ from gristmill.operators.pages import canonical_order
 REPORT_ROWS = 20
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Result rows by capture.  Exports are bounded per capture, so no capture makes a huge file."""
-    df.write.mode("overwrite").partitionBy("capture_id").format(fmt).save(path)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", files: int = 8) -> None:
+    """Result rows by capture, each capture in at most ``files`` files whatever the number of tasks."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    df.repartition("capture_id", salt).write.mode("overwrite").partitionBy("capture_id").format(fmt).save(path)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

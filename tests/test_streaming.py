@@ -54,9 +54,18 @@ def test_thread_intervals(spark, tmp_path):
         for r in S.off_cpu_intervals(steps).collect()
     }
     end = {r for r in offs if r[4] == "trace_end_boundary"}
-    assert {(r["tid"], r["start_event_id"], r["end_event_id"], r["duration_ns"]) for r in got if r["measure"] == "runtime"} == runs
+    assert {(r["tid"], r["start_event_id"], r["end_event_id"], r["duration_ns"]) for r in got if r["measure"] == "runtime" and r["reason"] is None} == runs
     assert {(r["tid"], r["start_event_id"], r["end_event_id"], r["duration_ns"]) for r in got if r["measure"] == "runnable"} == lats
     streamed = {(r["tid"], r["start_event_id"], r["end_event_id"], r["duration_ns"], r["reason"]) for r in got if r["measure"] == "off_cpu"}
+    split = {(r["end_event_id"], r["blocked_ns"], r["runnable_ns"]) for r in got if r["blocked_ns"] is not None}
+    complete = S.off_cpu_intervals(steps).where("blocked_ns is not null")
+    assert split == {(r["switch_in_event_id"], r["blocked_ns"], r["runnable_ns"]) for r in complete.collect()} and split
+    moved = {}
+    for r in got:
+        if r["measure"] == "migration":
+            moved[r["capture_id"], r["tid"]] = moved.get((r["capture_id"], r["tid"]), 0) + 1
+    assert moved == {(r["capture_id"], r["tid"]): r["migration_count"] for r in S.thread_summary(steps).where("migration_count > 0").collect()}
+    assert not [r for r in got if r["measure"] == "late"]
     # a stream closes a thread only once the watermark has passed its silence
     assert offs - end <= streamed <= offs
 
@@ -77,7 +86,8 @@ def test_hotspots(spark, tmp_path):
     source = str(tmp_path / "samples")
     samples.repartition(4).write.parquet(source)
     out = _run(spark, source, samples.schema, I.stream_hotspots, tmp_path, "complete", "spots")
-    columns = ["capture_id", "symbol", "dso", "self_weight", "inclusive_weight", "sample_count", "stack_occurrence_count"]
+    columns = ["capture_id", "symbol", "dso", "self_weight", "inclusive_weight", "sample_count", "stack_occurrence_count", "thread_count"]
+    out = I.fold_threads(out)
     assert sorted(out.select(columns).collect()) == sorted(H.hotspots(samples).select(columns).collect())
 
 
