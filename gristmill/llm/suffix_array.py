@@ -29,7 +29,12 @@ from gristmill.llm.common import cut, slices, written
 LENGTH = 200
 ANCHOR = 64
 
-RUN_SCHEMA = "k1 long, k2 long, start int, count int, anchor long, content long, body binary"
+# Groups of one anchor with more different runs than this are sorted by Spark, row by row; smaller ones
+# are packed into arrays of about CHUNK bytes and sorted in a task each.
+GROUP = 6_000
+CHUNK = 1 << 21
+
+RUN_SCHEMA = "k1 long, k2 long, start int, count int, anchor long, content long"
 
 
 def _steps(length: int) -> tuple[int, int, int]:
@@ -52,8 +57,8 @@ def _runs_of(length: int, anchor: int):
     return runs
 
 
-def _open_runs(table, length: int, anchor: int):
-    """The runs whose anchor may repeat, with a digest of their bytes and the bytes."""
+def _open_runs(table, length: int, anchor: int, with_body: bool = False):
+    """The runs whose anchor is in the table, with a digest of their bytes; on demand the bytes too."""
     runs_of = _runs_of(length, anchor)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,15 +73,115 @@ def _open_runs(table, length: int, anchor: int):
                 for i in np.flatnonzero(rolling.in_table(table.value, runs.anchor)):
                     start, count = int(runs.start[i]), int(runs.count[i])
                     body = data[start : start + count + length - 1]
-                    digest = hashlib.blake2b(body, digest_size=8).digest()
-                    row = (k1, k2, start, count, int(runs.anchor[i].view(np.int64)), int.from_bytes(digest, "little", signed=True), body)
+                    digest = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+                    row = (k1, k2, start, count, int(runs.anchor[i].view(np.int64)), digest, body if with_body else None)
                     for column, value in zip(columns, row):
                         column.append(value)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)],
-                names=["k1", "k2", "start", "count", "anchor", "content", "body"],
-            )
+            names = ["k1", "k2", "start", "count", "anchor", "content", "body"]
+            kept = 7 if with_body else 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:kept], types)], names=names[:kept])
+
+    return run
+
+
+def _rank(*parts: np.ndarray) -> np.ndarray:
+    """Rank of each tuple among the distinct tuples, in sorted order."""
+    ranks = parts[0]
+    for part in parts[1:]:
+        key = ranks * (np.int64(part.max()) + 1) + part
+        ranks = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    return ranks
+
+
+def sorted_repeats(bodies: list[bytes], counts: np.ndarray, copies: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of the strings start at two places: a flag for each of their first ``counts`` positions.
+
+    Names of 8 bytes are their values; each next name is the rank of three (at last two) names at shifts
+    that are multiples of 3, so sampled positions meet sampled positions only.
+    """
+    reach = length - 3
+    sizes = np.array([len(b) for b in bodies])
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(bodies) + bytes(length + 16), np.uint8)
+    total = int(sizes.sum())
+    place = np.arange(total) - np.repeat(starts, sizes)
+    sampled = np.flatnonzero(place % 3)
+    value = np.zeros(len(sampled), np.uint64)
+    for k in range(8):
+        value = value << np.uint64(8) | data[sampled + k]
+    names = np.zeros(len(data) + length, np.int64)
+    names[sampled] = np.unique(value, return_inverse=True)[1]
+    size = 8
+    while size < reach:
+        third = min(size // 3 * 3, (reach - size) // 2 // 3 * 3)
+        if size + 2 * third == reach and third:
+            shifts: tuple[int, ...] = (third, 2 * third)
+        elif (reach - size) % 3 == 0 and reach - size <= size:
+            shifts = (reach - size,)
+        elif size + 2 * (size // 3 * 3) < reach:
+            shifts = (size // 3 * 3, 2 * (size // 3 * 3))
+        else:  # reach - size is no multiple of 3 away: name fewer bytes, so that the next step fits
+            shifts = (3,)
+        if size + shifts[-1] > reach or not shifts[0]:
+            break
+        names[sampled] = _rank(names[sampled], *[names[sampled + s] for s in shifts])
+        size += shifts[-1]
+    # what the names do not reach is compared as bytes, with those that a shift puts in front
+    behind = length - size
+    window = np.repeat(np.arange(len(bodies)), counts)
+    at = np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts)
+    base, weight = starts[window] + at, copies[window]
+    found = np.zeros(len(window), bool)
+    for shift in range(3):
+        own = np.flatnonzero((at + shift) % 3)
+        if not len(own):
+            continue
+        first = base[own]
+        rank = names[first + shift]
+        for k in [*range(shift), *range(shift + size, length)]:
+            rank = rank * 256 + data[first + k]
+            if behind > 4:
+                rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+        # equal windows are neighbours in rank order
+        rank = np.unique(rank, return_inverse=True)[1]
+        found[own] |= np.bincount(rank, weights=weight[own])[rank] > 1
+    return found
+
+
+def _sort_groups(length: int):
+    """Islands (anchor, content, at, long) of repeated windows; the input is sorted by anchor, then content."""
+
+    def islands(rows: list[tuple]) -> pa.RecordBatch:
+        found = []
+        if rows:
+            counts = np.array([r[2] for r in rows])
+            flags = sorted_repeats([r[4] for r in rows], counts, np.array([r[3] for r in rows]), length)
+            ends = np.cumsum(counts)
+            for (anchor, content, count, *_), end in zip(rows, ends):
+                own = np.concatenate([[False], flags[end - count : end], [False]])
+                turns = np.flatnonzero(own[1:] != own[:-1])
+                found += [(anchor, content, int(x), int(y - x)) for x, y in zip(turns[::2], turns[1::2])]
+        columns = list(zip(*found)) or [[]] * 4
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], names=["anchor", "content", "at", "long"]
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, last = [], 0, None
+        for batch in slices(batches, 512):
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "content", "count", "copies", "body")]
+            for row in zip(*columns):
+                if last == row[:2]:  # copies of a text give the same run again
+                    continue
+                if held > CHUNK and last[0] != row[0]:
+                    yield islands(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[4])
+                last = row[:2]
+        yield islands(rows)
 
     return run
 
@@ -171,20 +276,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     opened = written(texts.mapInArrow(_open_runs(table, length, anchor), RUN_SCHEMA), "runs")
     run = ["anchor", "content"]
     places = opened.select("k1", "k2", "start", *run).distinct()
-    contents = opened.groupBy(*run, "count", "body").agg(F.count(F.lit(1)).alias("copies"))
-    contents = written(contents.withColumn("sid", F.monotonically_increasing_id()), "contents")
-
+    contents = opened.groupBy(*run, "count").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start")).alias("source")
+    )
+    contents = written(contents, "contents")
     whole = contents.where("copies > 1").select(*run, F.lit(0).alias("at"), F.col("count").alias("long"))
-    mixed = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least"))
-    mixed = mixed.where("n > 1 and least = 1").select("anchor")
-    strings = contents.join(mixed, "anchor", "left_semi")
-    found = repeated_windows(strings.select("sid", "body", "count", "copies"), length)
-    island = Window.partitionBy("sid").orderBy("at")
-    islands = found.withColumn("island", F.col("at") - F.row_number().over(island)).groupBy("sid", "island").agg(
-        F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("long")
+
+    # different runs under one anchor, at least one of them single: their bytes are read once more
+    mixed = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs"), F.min("copies").alias("least"))
+    mixed = cut(mixed.where("runs > 1 and least = 1").select("anchor", "runs"))
+    wanted = contents.join(mixed, "anchor").select(*run, "copies", "runs", "source.k1", "source.k2", "source.start")
+    bodies = texts.mapInArrow(
+        _open_runs(rolling.anchor_table(docs.sparkSession, mixed), length, anchor, True), RUN_SCHEMA + ", body binary"
     )
-    single = contents.where("copies = 1").select("sid", *run)
-    pieces = whole.unionByName(islands.join(single, "sid").select(*run, "at", "long"))
+    strings = bodies.join(wanted, [*run, "k1", "k2", "start"]).select(*run, "count", "copies", "runs", "body")
+    strings = written(strings, "strings")
+    small = strings.where(F.col("runs") <= GROUP).repartition("anchor").sortWithinPartitions(*run)
+    sorted_in_tasks = small.mapInArrow(_sort_groups(length), "anchor long, content long, at int, long int")
+
+    large = strings.where(F.col("runs") > GROUP).dropDuplicates(run).drop("runs")
+    large = written(large.withColumn("sid", F.monotonically_increasing_id()), "large")
+    pieces = whole.unionByName(sorted_in_tasks.join(whole.select(*run), run, "left_anti"))
+    if not large.isEmpty():
+        found = repeated_windows(large.select("sid", "body", "count", "copies"), length)
+        island = Window.partitionBy("sid").orderBy("at")
+        islands = found.withColumn("island", F.col("at") - F.row_number().over(island)).groupBy("sid", "island").agg(
+            F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("long")
+        )
+        single = large.where("copies = 1").select("sid", *run)
+        pieces = pieces.unionByName(islands.join(single, "sid").select(*run, "at", "long"))
     return places.join(pieces, run).select("k1", "k2", (F.col("start") + F.col("at")).alias("start"), F.col("long").alias("count"))
 
 

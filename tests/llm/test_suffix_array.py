@@ -2,7 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
-from gristmill.llm.suffix_array import _steps, remove_repeats
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gristmill.llm import suffix_array
+from gristmill.llm.suffix_array import _steps, remove_repeats, sorted_repeats
 
 from .support import awkward, documents, empty
 
@@ -34,7 +40,24 @@ def prose(n):
     return " ".join("".join(RNG.choice("aeioué") + RNG.choice("bcdfgh") for _ in range(3)) for _ in range(n))
 
 
-def test_against_brute_force(spark):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab", min_size=0, max_size=70), min_size=1, max_size=6), st.integers(11, 60))
+def test_sort_of_a_group(texts, length):
+    bodies = [t.encode() for t in texts if len(t) >= length] or [b"a" * length]
+    copies = np.array([1 + (i % 3 == 2) for i in range(len(bodies))])
+    counts = np.array([len(b) - length + 1 for b in bodies])
+    seen = Counter()
+    for b, c in zip(bodies, copies):
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] += c
+    want = [seen[b[i : i + length]] > 1 for b in bodies for i in range(len(b) - length + 1)]
+    assert sorted_repeats(bodies, counts, copies, length).tolist() == want
+
+
+@pytest.mark.parametrize("group", [suffix_array.GROUP, 0])
+def test_against_brute_force(spark, group, monkeypatch):
+    """In tasks, and (as if every group were too large for one) by Spark."""
+    monkeypatch.setattr(suffix_array, "GROUP", group)
     passages = [prose(n) for n in (6, 12, 30)]
     texts = []
     for i in range(60):
