@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gristmill.operators.ordered import cut, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share.  Only a single-machine session may go without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not (context.master or "").startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder; a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh table path in the shared folder."""
     return f"{shared_dir(spark)}/gristmill-llm/{name}-{uuid.uuid4().hex}"
@@ -46,6 +29,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their place (from 0) in ``order`` over the whole table.
+
+    A range-partitioned sort; a place is that within the partition plus the sizes of those before, so
+    only one number per partition is brought together.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before")
+    return placed.withColumn("__part", part).join(offsets, "__part").select(*rows.columns, place.alias(name))
+
+
 def learn_fold(doc_id: str, parts: int, held: int) -> F.Column:
     """True for held-out rows: crc32 of the id as text, modulo ``parts``, equals ``held``."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == held, F.lit(False))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.llm import rolling
-from gristmill.llm.common import cut, slices, written
+from gristmill.llm.common import cut, numbered, slices, written
 
 LENGTH = 200
 ANCHOR = 64
@@ -209,19 +209,9 @@ def _samples(first: int, reach: int):
 
 
 def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Replace ``keys`` by their rank among all distinct keys, in sorted order.
-
-    Ranks come from a range-partitioned sort: place within the partition plus the sizes of those before.
-    """
-    distinct = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = cut(distinct.withColumn("__id", F.monotonically_increasing_id()))
-    part = F.shiftright("__id", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = placed.withColumn("__part", part).join(offsets, "__part")
-    rank = (F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before")).alias(name)
-    return rows.join(ranked.select(*keys, rank), keys).drop(*keys)
+    """Replace ``keys`` by their rank among all distinct keys, in sorted order."""
+    ranked = numbered(rows.select(*keys).distinct(), keys, name)
+    return rows.join(ranked, keys).drop(*keys)
 
 
 def _tripled(rows: DataFrame, name: str, shift: int, width: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm.common import cut
+from gristmill.llm.common import cut, numbered
 
 SCALE = 256
 BLOCK = 4096  # vectors of a block
@@ -26,7 +26,7 @@ QUERY_BLOCK = 512
 STEPS = (0.25, 0.5)  # shares of the coordinates after which candidates are pruned
 _SLACK = 1e-6  # relative; rotation is in floating point, so bounds are widened by it
 
-BLOCK_SCHEMA = "length double, n int, ids binary, components binary"
+BLOCK_SCHEMA = "block long, length double, n int, ids binary, components binary"
 SCORES = "query_id long, vec_id long, score long"
 
 
@@ -57,43 +57,50 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _blocks(width: int, rows: int):
-    """Cut a partition, sorted by descending length, into blocks; the key is the block's longest length."""
+def _packed(width: int):
+    """Rows of one block number (successive rows of the input) as one row of matrices."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        number = None
 
-        def block(part: pa.Table) -> pa.RecordBatch:
-            part = part.combine_chunks()
+        def block() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held).combine_chunks()
             ids = part.column("vec_id").to_numpy()
             values = _matrix(part.column("components").combine_chunks(), width)
-            longest = float(part.column("length")[0].as_py())
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([longest]),
+                    pa.array([number], pa.int64()),
+                    pa.array([float(part.column("length")[0].as_py())]),
                     pa.array([len(ids)], pa.int32()),
                     pa.array([ids.astype("<i8").tobytes()], pa.binary()),
                     pa.array([values.astype("<i8").tobytes()], pa.binary()),
                 ],
-                names=["length", "n", "ids", "components"],
+                names=["block", "length", "n", "ids", "components"],
             )
 
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= rows:
-                table = pa.Table.from_batches(held)
-                whole = table.num_rows // rows * rows
-                for start in range(0, whole, rows):
-                    yield block(table.slice(start, rows))
-                held = table.slice(whole).to_batches()
-        if sum(b.num_rows for b in held):
-            yield block(pa.Table.from_batches(held))
+            numbers = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for start, end in zip(cuts, cuts[1:]):
+                if end > start:
+                    if held and numbers[start] != number:
+                        yield block()
+                        held = []
+                    number = int(numbers[start])
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield block()
 
     return run
 
 
-def _by_length(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange(F.desc("length"), F.col("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id")
+def _blocks(rows: DataFrame, width: int, size: int) -> DataFrame:
+    """``rows`` by descending length in blocks of ``size``, however they are partitioned."""
+    placed = numbered(rows, [F.desc("length"), F.col("vec_id")], "place")
+    placed = placed.withColumn("block", F.floor(F.col("place") / F.lit(size)))
+    dealt = placed.repartition("block").sortWithinPartitions("block", "place").drop("place")
+    return dealt.mapInArrow(_packed(width), BLOCK_SCHEMA)
 
 
 def _gram(width: int):
@@ -220,22 +227,19 @@ def top_k(
     rows = cut(usable(vectors, key, vector))
     width = rows.agg(F.max(F.size("components"))).first()[0] or 1
     turn = rotation(rows, width)
-    blocks = _by_length(rows).mapInArrow(_blocks(width, block), BLOCK_SCHEMA)
-    queries = _by_length(rows.where(is_query))
+    blocks = cut(_blocks(rows, width, block).withColumnRenamed("block", "v_block"))
     q_blocks = cut(
-        queries.mapInArrow(_blocks(width, query_block), BLOCK_SCHEMA).select(
-            F.monotonically_increasing_id().alias("q_block"),
+        _blocks(rows.where(is_query), width, query_block).select(
+            F.col("block").alias("q_block"),
             F.col("length").alias("q_length"), F.col("n").alias("q_n"),
             F.col("ids").alias("q_ids"), F.col("components").alias("q_components"),
         )
     )
-    blocks = cut(blocks.withColumn("v_block", F.monotonically_increasing_id()))
-    lead = blocks.orderBy(F.desc("length"), "v_block").limit(1).select("v_block")
-    lead_id = [r["v_block"] for r in lead.collect()] or [-1]
     meet = _meet(width, turn, k)
     columns = ["q_n", "q_ids", "q_components", "n", "ids", "components", "floors"]
 
-    seed = q_blocks.withColumn("v_block", F.lit(lead_id[0])).join(blocks, "v_block")
+    # block 0 holds the longest vectors
+    seed = q_blocks.withColumn("v_block", F.lit(0).cast("long")).join(blocks, "v_block")
     seeded = cut(seed.withColumn("floors", F.lit(None).cast("array<long>")).select(*columns).mapInArrow(meet, SCORES))
     floor = _ranked(seeded, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     places = q_blocks.select("q_block", "q_ids").mapInArrow(_spread_ids(), "q_block long, place long, query_id long")
@@ -251,7 +255,7 @@ def top_k(
     q_blocks = cut(q_blocks.join(floors, "q_block"))
 
     # each block meets the query blocks it can still matter to: a range of lengths, not all of them
-    pairs = blocks.where(F.col("v_block") != lead_id[0]).select("v_block", "length").join(
+    pairs = blocks.where("v_block > 0").select("v_block", "length").join(
         q_blocks.select("q_block", "q_length", "least"),
         F.col("length") * F.col("q_length") * (1 + _SLACK) + 1 >= F.col("least"),
     )
