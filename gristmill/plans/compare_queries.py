@@ -8,6 +8,7 @@ from gristmill.operators import bench as B
 from gristmill.operators import classify as C
 from gristmill.operators import compare as P
 from gristmill.operators import hotspots as H
+from gristmill.operators import locks as K
 from gristmill.operators import pages as G
 from gristmill.operators import quality as Q
 from gristmill.operators import resources as V
@@ -643,3 +644,93 @@ def gate_sets(spark, sf_dir):
         F.array_join("allowed_conclusions", ",").alias("allowed"),
         F.array_join("forbidden_conclusions", ",").alias("forbidden"),
     )
+
+
+@query(
+    "lock_single_kind",
+    """select p_brand as lock_id, cast(p_size % 2 as int) as capture_id, case when count(distinct kind) = 1 then min(kind) else 'unknown' end as lock_kind
+from (select p_brand, p_size, case when p_size > 40 and p_partkey % 3 = 0 then 'rwlock' else 'mutex' end as kind from part where p_partkey % 4 > 0 or p_size < 20) group by all""",
+)
+def lock_single_kind(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "part").where("p_partkey % 4 > 0 or p_size < 20")
+    kind = F.when((F.col("p_size") > 40) & (F.col("p_partkey") % 3 == 0), "rwlock").otherwise("mutex")
+    events = rows.select((F.col("p_size") % 2).cast("int").alias("capture_id"), F.col("p_brand").alias("lock_id"), kind.alias("lock_kind"))
+    return K.single_kind(events)
+
+
+def _profiles(spark, sf_dir, side):
+    """One profile per part: two metadata fields, a status and a sample count; sides differ by rule."""
+    shift = 0 if side == "baseline" else 1
+    return views.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.create_map(
+            F.lit("kernel"), F.when(F.col("p_partkey") % 5 == 0, f"k{shift}").otherwise("k"),
+            F.lit("period"), F.when(F.col("p_partkey") % 7 == 0, F.lit(None) if shift else F.lit("p")).otherwise("p"),
+        ).alias("fields"),
+        F.when(F.col("p_partkey") % 3 == shift, "partial").otherwise("verified").alias("quality_status"),
+        (F.col("p_size") * 4 + shift).cast("long").alias("sample_count"),
+    )
+
+
+@query(
+    "profile_comparability",
+    """with p as (select p_partkey, p_size, list_concat(list_concat(case when p_partkey % 5 = 0 then ['kernel'] else [] end, case when p_partkey % 7 = 0 then ['period'] else [] end),
+  case p_partkey % 3 when 0 then ['baseline_quality_status'] when 1 then ['candidate_quality_status'] else [] end) as d from part)
+select p_partkey, array_to_string(d, ',') as differences, len(d) = 0 as comparable, p_size * 4 < 100 as few_samples from p""",
+)
+def profile_comparability(spark, sf_dir):
+    rows = P.profile_comparability(_profiles(spark, sf_dir, "baseline"), _profiles(spark, sf_dir, "candidate"), ["p_partkey"])
+    return rows.withColumn("differences", F.array_join("differences", ","))
+
+
+@query(
+    "trace_quality",
+    """select event_type, user_id, count(*) filter (event_id % 40 = 0) as lost, count(*) filter (event_id % 50 = 1) as malformed,
+  case when count(*) filter (event_id % 40 = 0 or event_id % 50 = 1) > 0 then 'partial' else 'complete' end as quality_status from events group by all""",
+)
+def trace_quality(spark, sf_dir):
+    counters = views.table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(
+        F.count_if(F.col("event_id") % 40 == 0).alias("lost"), F.count_if(F.col("event_id") % 50 == 1).alias("malformed")
+    )
+    return Q.trace_quality(counters)
+
+
+# a runtime-lock comparison per part: one of six demands fails for every seventh part each
+_DEMANDS = ("adapter_match", "semantics_match", "threshold_or_sampling_match", "workload_match", "resource_environment_match", "replay_passed")
+
+
+@query(
+    "lock_verdicts",
+    """with p as (select p_partkey, p_partkey % 11 >= 6 and p_size % 10 <> 9 as comparable, p_size % 4 = 0 as worse, p_size % 4 = 1 or p_size % 4 = 2 as better from part),
+v as (select *, worse or p_partkey % 2 = 0 as regressed from p)
+select p_partkey, comparable, comparable and regressed as has_regression, comparable and better as has_improvement,
+  comparable and regressed and p_partkey % 2 = 0 as resource_counted,
+  'distribution,runtime_lock_comparison' as allowed, 'performance_root_cause,rate,verified_improvement,waits' as forbidden from v""",
+)
+def lock_verdicts(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    none = F.array().cast("array<string>")
+    metric = F.array(F.lit("total_exact_wait_ns"))
+    pairs = views.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        *[(key % 11 != n).alias(name) for n, name in enumerate(_DEMANDS)],
+        F.when(size % 10 == 9, "failed").otherwise("passed").alias("correctness_status"),
+        F.lit(None).cast("boolean").alias("treatment_changed"),
+        F.when(key % 2 == 0, "regression").otherwise("no_regression").alias("resource_status"),
+        F.when((size % 4).isin(1, 2), metric).otherwise(none).alias("improved_metrics"),
+        F.when(size % 4 == 0, metric).otherwise(none).alias("regressed_metrics"),
+        F.array(F.lit("rate"), F.lit("distribution")).alias("baseline_allowed"),
+        F.array(F.lit("distribution"), F.lit("rate"), F.lit("only_here")).alias("candidate_allowed"),
+        F.array(F.lit("waits")).alias("baseline_forbidden"),
+        F.array(F.lit("rate")).alias("candidate_forbidden"),
+    )
+    rows = P.runtime_lock_verdict(pairs)
+    return rows.select(
+        "p_partkey",
+        "comparable",
+        (F.size("regressed_metrics") > 0).alias("has_regression"),
+        (F.size("improved_metrics") > 0).alias("has_improvement"),
+        F.array_contains("regressed_metrics", "resource_transfer").alias("resource_counted"),
+        F.array_join("allowed_conclusions", ",").alias("allowed"),
+        F.array_join("forbidden_conclusions", ",").alias("forbidden"),
+    )
