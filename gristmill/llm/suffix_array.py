@@ -30,8 +30,9 @@ LENGTH = 200
 ANCHOR = 64
 
 # Groups of one anchor with more different runs than this are sorted by Spark, row by row; smaller ones
-# are packed into arrays of about CHUNK bytes and sorted in a task each.
-GROUP = 6_000
+# are packed into arrays of about CHUNK bytes and sorted in a task each.  A run has at most
+# 2 * LENGTH - ANCHOR bytes and sorting takes some 40 bytes per byte, so a group needs 0.5 GB at most.
+GROUP = 32_768
 CHUNK = 1 << 21
 
 RUN_SCHEMA = "k1 long, k2 long, start int, count int, anchor long, content long"
@@ -87,7 +88,7 @@ def _open_runs(table, length: int, anchor: int, with_body: bool = False):
 
 def _rank(*parts: np.ndarray) -> np.ndarray:
     """Rank of each tuple among the distinct tuples, in sorted order."""
-    ranks = parts[0]
+    ranks = parts[0].astype(np.int64)
     for part in parts[1:]:
         key = ranks * (np.int64(part.max()) + 1) + part
         ranks = np.unique(key, return_inverse=True)[1].astype(np.int64)
@@ -110,8 +111,9 @@ def sorted_repeats(bodies: list[bytes], counts: np.ndarray, copies: np.ndarray,
     value = np.zeros(len(sampled), np.uint64)
     for k in range(8):
         value = value << np.uint64(8) | data[sampled + k]
-    names = np.zeros(len(data) + length, np.int64)
+    names = np.zeros(len(data) + length, np.int32)
     names[sampled] = np.unique(value, return_inverse=True)[1]
+    del value, place
     size = 8
     while size < reach:
         third = min(size // 3 * 3, (reach - size) // 2 // 3 * 3)
@@ -138,7 +140,7 @@ def sorted_repeats(bodies: list[bytes], counts: np.ndarray, copies: np.ndarray,
         if not len(own):
             continue
         first = base[own]
-        rank = names[first + shift]
+        rank = names[first + shift].astype(np.int64)
         for k in [*range(shift), *range(shift + size, length)]:
             rank = rank * 256 + data[first + k]
             if behind > 4:
