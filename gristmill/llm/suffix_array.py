@@ -58,8 +58,11 @@ def _runs_of(length: int, anchor: int):
     return runs
 
 
-def _open_runs(table, length: int, anchor: int, with_body: bool = False):
-    """The runs whose anchor is in the table, with a digest of their bytes; on demand the bytes too."""
+def _open_runs(table, length: int, anchor: int, wanted=None):
+    """The runs whose anchor is in the table, with a digest of their bytes.
+
+    With a second table only the runs whose digest, mixed with the text's key, is in that, and their bytes.
+    """
     runs_of = _runs_of(length, anchor)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +78,14 @@ def _open_runs(table, length: int, anchor: int, with_body: bool = False):
                     start, count = int(runs.start[i]), int(runs.count[i])
                     body = data[start : start + count + length - 1]
                     digest = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
-                    row = (k1, k2, start, count, int(runs.anchor[i].view(np.int64)), digest, body if with_body else None)
+                    if wanted and not rolling.in_table(wanted.value, np.array([digest ^ k1], np.int64).view(np.uint64))[0]:
+                        continue
+                    row = (k1, k2, start, count, int(runs.anchor[i].view(np.int64)), digest, body if wanted else None)
                     for column, value in zip(columns, row):
                         column.append(value)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             names = ["k1", "k2", "start", "count", "anchor", "content", "body"]
-            kept = 7 if with_body else 6
+            kept = 7 if wanted else 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:kept], types)], names=names[:kept])
 
     return run
@@ -278,9 +283,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     mixed = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs"), F.min("copies").alias("least"))
     mixed = cut(mixed.where("runs > 1 and least = 1").select("anchor", "runs"))
     wanted = contents.join(mixed, "anchor").select(*run, "copies", "runs", "source.k1", "source.k2", "source.start")
-    bodies = texts.mapInArrow(
-        _open_runs(rolling.anchor_table(docs.sparkSession, mixed), length, anchor, True), RUN_SCHEMA + ", body binary"
-    )
+    wanted = cut(wanted)
+    # one occurrence of each is enough; a second table keeps nearly all others out of the shuffle
+    sources = wanted.select(F.col("content").bitwiseXOR(F.col("k1")).alias("anchor"))
+    tables = [rolling.anchor_table(docs.sparkSession, rows) for rows in (mixed, sources)]
+    bodies = texts.mapInArrow(_open_runs(tables[0], length, anchor, tables[1]), RUN_SCHEMA + ", body binary")
     strings = bodies.join(wanted, [*run, "k1", "k2", "start"]).select(*run, "count", "copies", "runs", "body")
     strings = written(strings, "strings")
     small = strings.where(F.col("runs") <= GROUP).repartition("anchor").sortWithinPartitions(*run)
