@@ -43,20 +43,23 @@ class Trie:
         self.root: dict = {}
         self.longest = 0
         heads, tails = set(), set()
-        allowed = set(fuzzy)
         for term, stem, weight in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
+            node = self._node(term)
             mark = "stem" if stem else "word"
             node[mark] = max(weight, node.get(mark, 0.0))
-            if term in allowed:
-                node["fuzzy"] = (weight, term)
-                self.longest = max(self.longest, len(term))
-                heads.add(term[:2])
-                tails.add(term[-2:])
+        for term in set(fuzzy):  # weighs what its right spelling does, by itself or by a stem
+            self._node(term)["fuzzy"] = (self.exact(term), term)
+            self.longest = max(self.longest, len(term))
+            heads.add(term[:2])
+            tails.add(term[-2:])
         self.heads, self.tails = frozenset(heads), frozenset(tails)
 
+    def _node(self, term: str) -> dict:
+        node = self.root
+        for c in term:
+            node = node.setdefault(c, {})
+        return node
+
     def exact(self, word: str) -> float:
         """The best weight of the word itself or of a stem that begins it."""
         node, best = self.root, 0.0
@@ -68,7 +71,11 @@ class Trie:
         return max(best, node.get("word", 0.0))
 
     def fuzzy(self, word: str) -> tuple[float, str]:
-        """The weightiest term that is one insertion, deletion or substitution away, with its weight.
+        """The weightiest term that is one insertion, deletion or substitution away, with its weight."""
+        return max(self.near(word), default=(0.0, ""))
+
+    def near(self, word: str) -> list[tuple[float, str]]:
+        """Weight and term of all terms that are one insertion, deletion or substitution away.
 
         The automaton of ``word`` is run over the trie: its state is, for 0 and for 1 errors, the set
         of positions of the word that may have been reached, as bits.  One error leaves the first or
@@ -76,18 +83,18 @@ class Trie:
         """
         n = len(word)
         if n < FUZZY_FROM - 1 or n > self.longest + 1:
-            return 0.0, ""
+            return []
         if word[:2] not in self.heads and word[-2:] not in self.tails:
-            return 0.0, ""
+            return []
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
-        end, best = 1 << n, (0.0, "")
+        end, found = 1 << n, []
         stack = [(self.root, 1, 2)]
         while stack:
             node, none, one = stack.pop()
             if "fuzzy" in node and (none | one) & end:
-                best = max(best, node["fuzzy"])
+                found.append(node["fuzzy"])
             for c, child in node.items():
                 if len(c) > 1:
                     continue
@@ -98,7 +105,7 @@ class Trie:
                 erred &= (end << 1) - 1
                 if clean or erred:
                     stack.append((child, clean, erred))
-        return best
+        return found
 
 
 class _Weights(dict):
@@ -186,13 +193,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> D
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """At most ``LEXICON`` (term, is stem, weight): log odds of the shares of toxic and clean documents."""
+def passing_terms(sample: DataFrame) -> DataFrame:
+    """(term, stem, bad, weight) of the words and stems that pass the thresholds, stems that cover them or not.
+
+    The weight is the log odds of the shares of toxic and clean documents.
+    """
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic:
-        return []
-    counts = (
+    passing = (
         sample.mapInArrow(_terms, "term string, stem boolean, toxic int, n long")
         .groupBy("term", "stem")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("all"))
@@ -200,11 +208,15 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
         .withColumn("p", (F.col("bad") + 0.0) / (toxic + 1))
         .withColumn("q", (F.col("all") - F.col("bad") + 0.5) / (clean + 1))
         .where(F.col("p") >= F.lit(LEAST_SHARE / (1 - LEAST_SHARE)) * F.col("q"))
-        .withColumn("weight", F.log(F.col("p") / F.col("q")))
-        .orderBy(F.desc(F.col("weight") * F.col("bad")), "stem", F.length("term"), "term")
-        .limit(LEXICON)
-        .collect()
+        .select("term", "stem", "bad", F.log(F.col("p") / F.col("q")).alias("weight"))
     )
+    return cut(passing)
+
+
+def learn_lexicon(passing: DataFrame) -> list[tuple[str, bool, float]]:
+    """At most ``LEXICON`` (term, is stem, weight) of the terms that pass."""
+    best = passing.orderBy(F.desc(F.col("weight") * F.col("bad")), "stem", F.length("term"), "term")
+    counts = best.limit(LEXICON).collect()
     chosen: list[tuple[str, bool, float]] = []
     stems: dict[str, float] = {}
     for r in counts:  # best first; what a chosen stem already covers adds nothing
@@ -226,7 +238,7 @@ def _near_misses(lexicon: list[tuple[str, bool, float]], terms: list[str]):
             counts: Counter = Counter()
             for text in batch.column("text"):
                 words = set(_WORD.findall((text.as_py() or "").lower()))
-                counts.update({trie.fuzzy(w)[1] for w in words if not trie.exact(w)} - {""})
+                counts.update({term for w in words if not trie.exact(w) for _, term in trie.near(w)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
             )
@@ -234,9 +246,15 @@ def _near_misses(lexicon: list[tuple[str, bool, float]], terms: list[str]):
     return run
 
 
-def learn_fuzzy(sample: DataFrame, lexicon: list[tuple[str, bool, float]]) -> list[str]:
-    """The word terms whose near misses are not ordinary words of clean documents."""
-    terms = [t for t, stem, _ in lexicon if not stem and len(t) >= FUZZY_FROM]
+def learn_fuzzy(sample: DataFrame, lexicon: list[tuple[str, bool, float]], passing: DataFrame) -> list[str]:
+    """The words whose near misses are not ordinary words of clean documents.
+
+    All words that pass and are hits take part, those too that only a stem of the lexicon covers: the
+    stem finds no misspelling in its own letters.
+    """
+    words = passing.where(~F.col("stem") & (F.length("term") >= FUZZY_FROM)).select("term").orderBy("term").collect()
+    known = Trie(lexicon, [])
+    terms = [r["term"] for r in words if known.exact(r["term"])]
     clean = sample.where("toxic = 0")
     counts = clean.mapInArrow(_near_misses(lexicon, terms), "term string, n long").groupBy("term").sum("n").collect()
     most = FUZZY_CLEAN * clean.count()
@@ -281,10 +299,11 @@ def _featured(lexicon: list[tuple[str, bool, float]], fuzzy: list[str]):
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     """Fit on at most ``rows`` labelled documents; the driver gets terms and a few numbers of each."""
     sample = written(labelled_sample(docs, labels, rows), "labelled")
-    lexicon = learn_lexicon(sample)
+    passing = passing_terms(sample)
+    lexicon = learn_lexicon(passing)
     if not lexicon:
         return Model([], [], np.zeros(N_FEATURES + 1))
-    fuzzy = learn_fuzzy(sample, lexicon)
+    fuzzy = learn_fuzzy(sample, lexicon, passing)
     fitted = sample.mapInArrow(_featured(lexicon, fuzzy), "x array<double>, toxic int").collect()
     x, y = np.array([r["x"] for r in fitted]), np.array([r["toxic"] for r in fitted], dtype=float)
     return Model(lexicon, fuzzy, fit_weights(x, y))

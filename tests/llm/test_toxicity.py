@@ -90,3 +90,21 @@ def test_odd_rows(spark):
     assert len(rows) == 9 and all(r.predicted == 0 and r.score == 0 for r in rows)
     assert drop_toxic(awkward(spark), marks).count() == 9
     assert toxicity(empty(spark), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_misspellings_of_a_word_that_a_stem_covers(spark):
+    texts, labels = corpus()
+    spoiled = [i for i, _, toxic in labels if toxic]
+    for i in spoiled:
+        texts[i] = texts[i].replace("snorvex", "snorvexy" if i == spoiled[0] else "snorvex") + " snorvex"
+    for i in spoiled[1:8]:  # an inflected form alone, so that the stem has more documents than the word
+        texts[i] = texts[i].replace("snorvex", "snorvexing")
+    docs, marks = documents(spark, texts), spark.createDataFrame(labels, LABELS)
+    model = learn(docs, marks)
+    assert "snorvex" not in {t for t, stem, _ in model.lexicon if not stem}
+    assert "snorvex" in model.fuzzy
+    weights = _Weights(Trie(model.lexicon, model.fuzzy))
+    assert weights["snorvex"] > 0 and all(weights[w] < 0 for w in ("snnorvex", "norvex", "xnorvex", "sxorvex"))
+    plain = " ".join(["river stone cloud"] * 12)
+    rows = score(documents(spark, [plain + " snnorvex norvex xnorvex sxorvex", plain]), model).collect()
+    assert {r.doc_id: r.toxicity >= 0.5 for r in rows} == {0: True, 1: False}
