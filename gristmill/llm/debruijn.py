@@ -1,11 +1,11 @@
-"""Removal of repeated word passages over a compacted De Bruijn graph.
+"""Removal of repeated word passages by edges of a De Bruijn graph, gathered by anchor runs.
 
 Every ``k`` successive words are an edge between the (k-1)-word nodes they begin and end with.  Edges
 are gathered by anchor runs, so copies of a passage are a handful of equal runs instead of thousands
-of edges; only distinct runs are opened.  Edges found more than once form the graph; successive ones
-join to a path as long as no node between them branches.  Paths then meet the source coordinates of
-their runs, digests of the source words decide that they are equal, and the union of the coordinates
-is what repeats.
+of edges; only distinct runs are opened.  Runs with an equal anchor and digest of their words repeat
+as a whole, other runs where their edges (anchor and two node hashes; words are not compared) are found
+more than once, and the union of their source coordinates is what repeats.  Anchor runs take the place
+of the graph's compaction: the paths that ``_compact`` numbers have no effect on what is removed.
 """
 
 from __future__ import annotations
