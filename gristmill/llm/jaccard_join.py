@@ -1,10 +1,10 @@
-"""Near copies by n-gram Jaccard similarity: a MinHash LSH forest, then exact verification.
+"""Near copies by n-gram Jaccard similarity: MinHash banding, then exact verification.
 
 Every text becomes the set of its word n-grams; texts with one set are one class, and only classes
-are compared.  A tree of the forest orders the classes by a label of MinHash values; classes whose
-labels share a long enough prefix are candidates.  Labels are met at their full depth first; matched
-prefixes are shortened to the greatest depth at which the trees together reach the target recall at
-the threshold.  Candidates are verified on the sets themselves.
+are compared.  Each tree has a band of MinHash values; classes that share a whole band are candidates.
+A band is as long as the trees together still reach the target recall at the threshold, which follows
+from the parameters alone: no longer labels are made and no depth is tried on the data.  Candidates are
+verified on the sets themselves.
 """
 
 from __future__ import annotations
