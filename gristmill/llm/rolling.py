@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they can be inverted
-_POSITION = _U((1 << 28) - 1)  # low bits of a run key; no text has so many bytes
+_POSITION = _U((1 << 28) - 1)  # low bits of a run key: the position within a stretch of a text
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 # Bits of the table of repeated anchors: 16 MB, whatever the corpus.
@@ -110,11 +110,20 @@ def anchor_runs(grams: np.ndarray, width: int) -> Runs:
     if len(grams) < width:
         empty = np.zeros(0, np.int64)
         return Runs(np.zeros(0, _U), empty, empty)
-    # the position breaks ties to the left, at equal places in equal windows
-    least = sliding_min((grams & ~_POSITION) | np.arange(len(grams), dtype=_U), width)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    counts = np.diff(np.concatenate([starts, [len(least)]]))
-    return Runs(grams[(least[starts] & _POSITION).astype(np.int64)], starts, counts)
+    places = []
+    # stretches of as many grams as positions fit, which overlap so that each window is in one of them
+    size = int(_POSITION) + 1
+    if size < width:
+        raise ValueError(f"a window of {width} grams is longer than a stretch of {size}")
+    for at in range(0, len(grams) - width + 1, size - width + 1):
+        part = grams[at : at + size]
+        # the position breaks ties to the left, at equal places in equal windows
+        least = sliding_min((part & ~_POSITION) | np.arange(len(part), dtype=_U), width)
+        places.append((least & _POSITION).astype(np.int64) + at)
+    place = places[0] if len(places) == 1 else np.concatenate(places)
+    starts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+    counts = np.diff(np.concatenate([starts, [len(place)]]))
+    return Runs(grams[place[starts]], starts, counts)
 
 
 def signed(values: np.ndarray) -> pa.Array:

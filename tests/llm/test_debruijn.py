@@ -97,3 +97,17 @@ def test_odd_rows(spark):
     assert {r.doc_id: r.n_removed for r in rows}[3] == 3000
     assert remove_repeats(empty(spark)).count() == 0
     assert cut_repeats(awkward(spark)).columns == awkward(spark).columns
+
+
+def test_runs_of_a_text_with_more_grams_than_positions(monkeypatch):
+    rng = np.random.default_rng(5)
+    grams, width = rng.integers(0, 1 << 63, 1000, dtype=np.uint64), 10
+    grams[300:400] = grams[280]  # ties
+    monkeypatch.setattr(rolling, "_POSITION", np.uint64((1 << 6) - 1))
+    high = grams >> np.uint64(6)
+    place = [i + int(np.argmin(high[i : i + width])) for i in range(len(grams) - width + 1)]
+    starts = [i for i, p in enumerate(place) if i == 0 or p != place[i - 1]]
+    runs = rolling.anchor_runs(grams, width)
+    assert runs.start.tolist() == starts
+    assert runs.count.tolist() == np.diff([*starts, len(place)]).tolist()
+    assert runs.anchor.tolist() == [int(grams[place[i]]) for i in starts]
