@@ -35,13 +35,13 @@ def _scaled(vector: Column) -> Column:
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, components (array of longs) and length of the vectors that take part, one per id."""
+    """vec_id, components (array of longs) and length of the vectors that take part; equal rows once."""
     bad = F.exists(
         F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     )
     rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull() & ~bad)
-    rows = rows.select(F.col(key).cast("long").alias("vec_id"), _scaled(F.col(vector)).alias("components"))
-    rows = rows.groupBy("vec_id").agg(F.max("components").alias("components"))
+    rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("__v")).distinct()
+    rows = rows.select("vec_id", _scaled(F.col("__v")).alias("components"))
     square = F.aggregate("components", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return rows.withColumn("length", F.sqrt(square))
 
@@ -220,8 +220,9 @@ def top_k(
     equal vectors are no hot key.  The driver holds width x width numbers.
 
     Null vectors, null ids and vectors with null or non-finite components take no part; shorter
-    vectors count as filled with zeros; ties go to the smaller id; of rows that repeat an id the one
-    with the greatest components counts; fewer candidates than ``k`` give fewer rows; an empty table
+    vectors count as filled with zeros; ties go to the smaller id; rows that repeat an id
+    with other vectors are candidates of their own (rows equal in both count once), and the scores of a
+    repeated query id are ranked together; fewer candidates than ``k`` give fewer rows; an empty table
     gives no rows; other columns are ignored.  Scores must fit 64 bits.
     """
     rows = cut(usable(vectors, key, vector))

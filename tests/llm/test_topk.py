@@ -1,7 +1,8 @@
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from gristmill.llm.topk import top_k
+from gristmill.llm.topk import top_k, top_k_sql
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, length string"
 NAN, INF = float("nan"), float("inf")
@@ -52,3 +53,15 @@ def test_odd_rows(spark):
     assert run(spark, [], 10) == []
     assert run(spark, [(10, [1.0])], 10) == []
     assert run(spark, [(11, [1.0]), (12, [2.0])], 10) == []
+
+
+def test_other_vectors_under_one_id(spark):
+    rng = np.random.default_rng(9)
+    data = [[float(np.float32(x)) for x in row] for row in rng.normal(size=(200, 6))]
+    vectors = [(i % 80, v) for i, v in enumerate(data)]  # queries and candidates, two or three times each
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", vectors)
+    want = sorted((q, r, v, s) for q, r, v, s in con.execute(top_k_sql(every=10)).fetchall())
+    got = run(spark, vectors, 10, block=32, query_block=4)
+    assert got == want and any((q, r + 1, v) in {w[:3] for w in want} for q, r, v, _ in want)
