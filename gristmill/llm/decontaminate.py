@@ -17,6 +17,10 @@ from gristmill.llm.common import cut
 # Five positions each; chosen so that four substitutions anywhere in 20 words, or three in 15,
 # leave one seed of one mask whole.
 MASKS = ((0, 1, 2, 7, 8), (0, 2, 3, 4, 5), (0, 1, 3, 4, 8))
+# Items of at most SHORT words also have seeds of three words: two substitutions in 10 words, or one in
+# 5 to 9, leave one of these whole; items of 3 or 4 words allow none.
+SHORT = 10
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
 # Words that an overlap must span (an item that is shorter: all its words), and the share that must agree.
 WINDOW = 20
 AGREE = 0.8
@@ -80,6 +84,7 @@ def find_leaks(
     masks: Sequence[Sequence[int]] = MASKS,
     window: int = WINDOW,
     agree: float = AGREE,
+    short_masks: Sequence[Sequence[int]] = SHORT_MASKS,
 ) -> DataFrame:
     """doc_id, item_id, n_equal, n_compared, first_word: the best overlap of each contaminated pair.
 
@@ -91,17 +96,27 @@ def find_leaks(
     of the documents only probable hits are shuffled, each with the words around it.  A passage that
     many documents hold is a skewed key of that join, which the engine splits.
 
+    Items of at most ``SHORT`` words are met by ``short_masks`` too, which are looked up in the documents
+    only if there are such items.
+
     Null and empty texts have no words and no leaks, as have items shorter than the shortest mask;
     texts of any length are read whole; equal items each report; rows that repeat an id count as one
     document; null ids are kept as null; an empty table gives no rows; other columns are ignored.
     """
+    tokens = items.select("item_id", words(F.col("text")).alias("tokens"))
+    few = F.size("tokens") <= SHORT
+    long_masks = len(masks)
+    if not tokens.where(few & (F.size("tokens") > 0)).isEmpty():
+        masks = [*masks, *short_masks]
     reach = max(mask[-1] for mask in masks) + 1
-    bench = _positions(items.select("item_id", words(F.col("text")).alias("tokens")), masks)
+    made = _seeds(F.col("tokens"), F.col("at"), masks)
+    made = [*made[:long_masks], *[F.when(few, seed) for seed in made[long_masks:]]]
+    bench = _positions(tokens, masks)
     bench = bench.select(
         "item_id",
         F.size("tokens").alias("item_words"),
         F.col("at").alias("item_at"),
-        F.explode(F.array(*_seeds(F.col("tokens"), F.col("at"), masks))).alias("seed"),
+        F.explode(F.array(*made)).alias("seed"),
         _around(F.col("tokens"), F.col("at"), reach, window).alias("item_around"),
     ).where("seed is not null")
     bench = cut(bench)

@@ -1,11 +1,13 @@
+import math
 import os
 import random
 import re
 import sys
+from itertools import combinations
 
 import duckdb
 
-from gristmill.llm.decontaminate import AGREE, MASKS, WINDOW, drop_leaks, find_leaks, leaks_sql
+from gristmill.llm.decontaminate import AGREE, MASKS, SHORT, SHORT_MASKS, WINDOW, drop_leaks, find_leaks, leaks_sql
 
 from .support import awkward, documents, empty
 
@@ -88,3 +90,36 @@ def test_no_python_in_the_plan(spark):
     docs, items = case()
     plan = find_leaks(documents(spark, [t for _, t in docs]), spark.createDataFrame(items, ITEMS))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_allowed_substitutions_leave_a_seed():
+    for n in range(3, WINDOW + 1):
+        masks = (*MASKS, *SHORT_MASKS) if n <= SHORT else MASKS
+        allowed = n - math.ceil(n * AGREE)
+        seeds = [{at + k for k in m} for m in masks for at in range(n - m[-1])]
+        lost = [places for places in combinations(range(n), allowed) if all(s & set(places) for s in seeds)]
+        assert not lost, (n, lost)
+
+
+def test_short_items_against_brute_force_without_seeds(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(3, SHORT + 1)]
+    texts = []
+    for n, item in items:
+        allowed = n - math.ceil(n * AGREE)
+        for changed in range(allowed + 2):
+            for places in combinations(range(n), changed):
+                passage = [f"changed{k}" if k in places else w for k, w in enumerate(item.split())]
+                texts.append(" ".join(prose(4) + passage + prose(len(texts) % 4)))
+        texts.append(" ".join(item.split()[1:]))  # the item is not whole
+    want = {}
+    for d, text in enumerate(texts):
+        mine = text.lower().split()
+        for i, item in items:
+            theirs = item.split()
+            starts = range(len(mine) - len(theirs) + 1)
+            best = max((sum(a == b for a, b in zip(mine[s:], theirs)) for s in starts), default=0)
+            if best >= len(theirs) * AGREE - 1e-9:
+                want[d, i] = (best, len(theirs))
+    bench = spark.createDataFrame(items, ITEMS)
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_compared) for r in find_leaks(documents(spark, texts), bench).collect()}
+    assert got == want
