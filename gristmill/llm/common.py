@@ -22,13 +22,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gristmill-llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``cut`` for larger tables: written as Parquet, so columns are compressed and pruned on reading."""
-    path = new_path(df.sparkSession, name)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` for larger tables: written as Parquet, so columns are compressed and pruned on reading."""
+    return stored(df, new_path(df.sparkSession, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder, once all that is made from it is written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """``rows`` with their place (from 0) in ``order`` over the whole table.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import debruijn, decontaminate, jaccard_join, language_id, packing, sharding, suffix_array, token_counts, topk, toxicity
+from gristmill.llm import centroids, cuckoo, debruijn, decontaminate, jaccard_join, language_id, packing, sharding, suffix_array, token_counts, topk, toxicity, whitening
 from gristmill.llm.common import new_path, table
 
 SHARDS = 24
@@ -54,7 +54,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.assign_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op5_language_id, op6_suffix_dedup, op7_top_k, op8_decontamination, op9_jaccard_join, op10_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_toxicity, op3_token_counts, op4_packing, op5_language_id, op6_suffix_dedup, op7_top_k, op8_decontamination, op9_jaccard_join, op10_substring_dedup,
+        op11_whitening, op12_exact_dedup, op13_centroids,
+    )
+}
+SQL: dict[str, str] = {
+    "op7_top_k": topk.top_k_sql(),
+    "op8_decontamination": decontaminate.leaks_sql(),
+    "op12_exact_dedup": cuckoo.copies_sql(),
+    "op13_centroids": centroids.clusters_sql(),
 }
-SQL: dict[str, str] = {"op7_top_k": topk.top_k_sql(), "op8_decontamination": decontaminate.leaks_sql()}
