@@ -25,7 +25,7 @@ from gristmill.llm.common import new_path, removed, stored, written
 
 SLOTS = 4
 KICKS = 500
-PART_KEYS = 1 << 18  # digests per part that a new index is laid out for
+PART_KEYS = 1 << 15  # digests per part that a new index is laid out for
 _MIX = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 
