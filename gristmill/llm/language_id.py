@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,46 +78,76 @@ def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, passes: int = 60)
     ``y`` is +1 or -1.  Accelerated gradient descent; features are scaled to unit deviation first and
     the scale is folded into the weights.
     """
-    mean, scale = x.mean(0), x.std(0) + 1e-2
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = look = np.zeros(z.shape[1])
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-2
+    z = np.empty((len(x), x.shape[1] + 1), np.float32)  # the only copy of the features
+    np.subtract(x, mean.astype(np.float32), out=z[:, :-1])
+    z[:, :-1] /= scale.astype(np.float32)
+    z[:, -1] = 1
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    y = y.astype(np.float32)
+    w = look = np.zeros(z.shape[1], np.float32)
     # the largest curvature, by a few power steps
-    v = np.ones(z.shape[1]) / np.sqrt(z.shape[1])
+    v = np.full(z.shape[1], 1 / np.sqrt(z.shape[1]), np.float32)
     for _ in range(8):
         v = z.T @ (share * (z @ v))
-        v /= np.linalg.norm(v) + 1e-12
-    rate = 1 / (2 * v @ (z.T @ (share * (z @ v))) * 1.2 + ridge)
+        v /= np.linalg.norm(v) + np.float32(1e-12)
+    rate = np.float32(1 / (2 * v @ (z.T @ (share * (z @ v))) * 1.2 + ridge))
     for step in range(passes):
         slack = np.maximum(0, 1 - y * (z @ look))
-        gradient = -2 * z.T @ (share * y * slack) + ridge * look
+        gradient = -2 * (z.T @ (share * y * slack)) + np.float32(ridge) * look
         new = look - rate * gradient
-        look = new + step / (step + 3) * (new - w)
+        look = new + np.float32(step / (step + 3)) * (new - w)
         w = new
     weights = w[:-1] / scale
     return np.append(weights, w[-1] - mean @ weights)
 
 
+def sides(langs: list[str]) -> tuple[list[str], list[list[str]], list[list[tuple[str, str, int]]], list[dict[str, float]]]:
+    """Families, their members, the pairs of members with their column, and per column the side of each language.
+
+    The first columns part one family from the rest, the others two languages of a family; languages
+    that a column does not part have no side there.
+    """
+    families = sorted({family(n) for n in langs})
+    members = [[n for n in langs if family(n) == f] for f in families]
+    columns = [{n: 1.0 if family(n) == f else -1.0 for n in langs} for f in families]
+    pairs: list[list[tuple[str, str, int]]] = []
+    for own in members:
+        pairs.append([])
+        for a, b in combinations(own, 2):
+            pairs[-1].append((a, b, len(columns)))
+            columns.append({a: 1.0, b: -1.0})
+    return families, members, pairs, columns
+
+
+def _fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return fit_svm(x, y) if (y > 0).any() and (y < 0).any() else np.zeros(x.shape[1] + 1)
+
+
+def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
+    """One column of weights from the vectors on its two sides, in an order of their own."""
+    rows = rows.sort_values(["lang", "shares"], kind="stable")
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for i, shares in enumerate(rows["shares"]):
+        x[i] = np.frombuffer(shares, np.float16)
+    found = _fitted(x, rows["side"].to_numpy())
+    return pd.DataFrame({"number": [int(rows["number"].iloc[0])], "weights": [found.astype("<f8").tobytes()]})
+
+
 class Model:
-    """Columns of weights: one per family (one against the rest), then one per pair within a family."""
+    """Columns of weights: one per family (one against the rest), then one per pair within a family.
+
+    ``columns`` are those of ``sides``; without them they are fitted here from the vectors ``x``.
+    """
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+    def __init__(self, x: np.ndarray | None, langs: list[str], columns: list[np.ndarray] | None = None) -> None:
         self.langs = sorted(set(langs))
-        self.families = sorted({family(n) for n in self.langs})
-        self.members = [[n for n in self.langs if family(n) == f] for f in self.families]
-        at = np.array(langs)
-        of = np.array([family(n) for n in langs])
-        columns: list[np.ndarray] = []
-        for f in self.families:
-            columns.append(fit_svm(x, np.where(of == f, 1.0, -1.0)) if len(self.families) > 1 else np.zeros(BUCKETS + 1))
-        self.pairs: list[list[tuple[str, str, int]]] = []
-        for members in self.members:
-            own = []
-            for a, b in combinations(members, 2):
-                rows = (at == a) | (at == b)
-                own.append((a, b, len(columns)))
-                columns.append(fit_svm(x[rows], np.where(at[rows] == a, 1.0, -1.0)))
-            self.pairs.append(own)
+        self.families, self.members, self.pairs, parted = sides(self.langs)
+        if columns is None:
+            columns = []
+            for side in parted:
+                rows = np.array([n in side for n in langs])
+                columns.append(_fitted(x[rows], np.array([side[n] for n in langs if n in side])))
         table = np.array(columns, dtype=np.float32).T if columns else np.zeros((BUCKETS + 1, 0), np.float32)
         self.weights, self.bias = np.ascontiguousarray(1000 * table[:-1]), table[-1]
 
@@ -150,9 +181,11 @@ def _sigmoid(margin: float) -> float:
 def learn(docs: DataFrame, rows: int = SAMPLE) -> Model:
     """Fit on at most ``rows`` documents with a language, outside the held-out fold.
 
-    Each language gives the same number, those with the smallest id hashes.  The driver gets one
-    vector of 8 kB of each, 32 MB at the default.
+    Each language gives the same number, those with the smallest id hashes.  Their vectors (8 kB each,
+    32 MB at the default) stay in the shared folder; every column of weights is fitted in a task of its
+    own, and the driver gets 4,097 numbers of each.
     """
+    spark = docs.sparkSession
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~learn_fold("doc_id", 4, 2))
     ids = named.select("doc_id", "lang")
     langs = ids.select("lang").distinct().count()
@@ -162,11 +195,15 @@ def learn(docs: DataFrame, rows: int = SAMPLE) -> Model:
     chosen = cut(chosen.distinct())
     sample = named.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     # rows that repeat an id may exceed the bound; they are cut in the same order
-    got = sample.mapInArrow(_shares, "lang string, shares binary").orderBy(F.xxhash64("shares")).limit(rows).toArrow()
-    langs_of = got.column("lang").to_pylist()
-    flat = b"".join(got.column("shares").to_pylist())
-    x = np.frombuffer(flat, np.float16).reshape(len(langs_of), BUCKETS).astype(np.float32)
-    return Model(x, langs_of)
+    got = cut(sample.mapInArrow(_shares, "lang string, shares binary").orderBy(F.xxhash64("shares")).limit(rows))
+    found = sorted(r["lang"] for r in got.select("lang").distinct().collect())
+    parted = sides(found)[3]
+    if not parted:
+        return Model(None, found, [])
+    items = spark.createDataFrame([(k, n, side) for k, of in enumerate(parted) for n, side in of.items()], "number int, lang string, side double")
+    groups = got.join(items, "lang").groupBy("number")  # a group holds ``rows`` vectors at most
+    columns = {r["number"]: np.frombuffer(r["weights"], "<f8") for r in groups.applyInPandas(_fit_group, "number int, weights binary").collect()}
+    return Model(None, found, [columns[k] for k in range(len(parted))])
 
 
 def _predictor(model: Model):
