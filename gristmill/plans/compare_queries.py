@@ -649,12 +649,14 @@ def gate_sets(spark, sf_dir):
 @query(
     "lock_single_kind",
     """select p_brand as lock_id, cast(p_size % 2 as int) as capture_id, case when count(distinct kind) = 1 then min(kind) else 'unknown' end as lock_kind
-from (select p_brand, p_size, case when p_size > 40 and p_partkey % 3 = 0 then 'rwlock' else 'mutex' end as kind from part where p_partkey % 4 > 0 or p_size < 20) group by all""",
+from (select p_brand, p_size, case when p_brand like '%3' or (p_size % 2 = 0 and p_size > 40 and p_brand like '%2') then 'rwlock' else 'mutex' end as kind from part) group by all""",
 )
 def lock_single_kind(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "part").where("p_partkey % 4 > 0 or p_size < 20")
-    kind = F.when((F.col("p_size") > 40) & (F.col("p_partkey") % 3 == 0), "rwlock").otherwise("mutex")
-    events = rows.select((F.col("p_size") % 2).cast("int").alias("capture_id"), F.col("p_brand").alias("lock_id"), kind.alias("lock_kind"))
+    """Locks of brands that end in 3 have one kind, those that end in 2 change it in one of two captures."""
+    rows = views.table(spark, sf_dir, "part")
+    brand, size = F.col("p_brand"), F.col("p_size")
+    kind = F.when(brand.endswith("3") | ((size % 2 == 0) & (size > 40) & brand.endswith("2")), "rwlock").otherwise("mutex")
+    events = rows.select((size % 2).cast("int").alias("capture_id"), brand.alias("lock_id"), kind.alias("lock_kind"))
     return K.single_kind(events)
 
 
