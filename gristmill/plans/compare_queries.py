@@ -660,6 +660,52 @@ def lock_single_kind(spark, sf_dir):
     return K.single_kind(events)
 
 
+# a hotspot and a rule for every part: symbols are its name, number and type; a rule's patterns depend on its size
+_RULE_PARTS = """select p_partkey, p_size, lower(p_name) as name, p_type, p_brand, concat(p_name, '_', cast(p_partkey as varchar), '_', p_type) as symbol from {part}"""
+
+
+@query(
+    "classify_by_table",
+    f"""with r as ({_RULE_PARTS.format(part='part')}), s as (select p_partkey as rank, symbol, lower(symbol) as low, name, p_type, p_brand as dso, p_size, p_size + 20 as inclusive from r),
+m as (select s.*, r.p_partkey as rule_no from r join s on s.name = r.name and starts_with(s.low, r.name || '_' || r.p_partkey // 10) where r.p_size % 4 = 0
+  union all select s.*, r.p_partkey from r join s on s.rank = r.p_partkey and s.low like '% widget_%' where r.p_size % 4 = 1 and (s.name like 'red %' or s.name like 'blue %')
+  union all select s.*, r.p_partkey from r join s on s.name = r.name and s.p_type = r.p_type where r.p_size % 4 = 2
+  union all select s.*, r.p_partkey from r join s on s.dso = r.p_brand where r.p_size % 4 = 3 and r.p_partkey % 50 <> 3
+  union all select s.*, r.p_partkey from r join s on length(s.symbol) = 20 where r.p_size % 4 = 3 and r.p_partkey % 50 = 3)
+select rank, rule_no, 'rule ' || rule_no as rule_id, 'see ' || symbol as observation,
+  row_number() over (order by rank, rule_no) as number from m where p_size >= rule_no % 30 and inclusive >= 25""",
+)
+def classify_by_table(spark, sf_dir):
+    rows = spark.sql(_RULE_PARTS.replace("varchar", "string"), part=views.table(spark, sf_dir, "part"))
+    key, kind = F.col("p_partkey"), F.col("p_size") % 4
+    digits = key.cast("string")
+    free = (kind == 3) & (key % 50 == 3)
+    patterns = (
+        F.when(kind == 0, F.array(F.concat(F.lit("^"), "name", F.lit("_"), F.expr("p_partkey div 10").cast("string"))))
+        .when(kind == 1, F.array(F.concat(F.lit("no such symbol "), digits, F.lit("$")), F.concat(F.lit("^(RED|blue) (widget)_"), digits, F.lit("_"))))
+        .when(kind == 2, F.array(F.concat(F.lit("^x?"), "name", F.lit("_[0-9]+_"), F.lower("p_type"), F.lit("$"))))
+        .when(free, F.array(F.lit("^.{20}$")))
+        .otherwise(F.array(F.lit(".+")))
+    )
+    none = F.array().cast("array<string>")
+    rules = rows.select(
+        key.alias("rule_no"), F.concat(F.lit("rule "), digits).alias("rule_id"), F.lit(1).alias("rule_version"), F.lit("generic").alias("scope"),
+        F.lit("c").alias("category"), F.lit("low").alias("confidence"), F.lit("see {symbol}").alias("observation"),
+        *[none.alias(t) for t in ("limitations", "missing_evidence", "next_steps", "forbidden_conclusions")], patterns.alias("symbol_regex"),
+        F.when((kind == 3) & ~free, F.array(F.concat(F.lit("^"), F.upper("p_brand"), F.lit("$")))).otherwise(none).alias("dso_regex"),
+        (key % 30).cast("double").alias("self_percent_gte"), F.lit(25.0).alias("inclusive_percent_gte"),
+    )
+    spots = rows.select(
+        F.lit(1).alias("capture_id"), digits.alias("hotspot_id"), key.alias("rank"), "symbol", F.col("p_brand").alias("dso"), F.lit(0).alias("self_weight"),
+        F.col("p_size").cast("double").alias("self_percent"), (F.col("p_size") + 20).cast("double").alias("inclusive_percent"),
+    )
+    found = C.classify_by_table(spots, rules)
+    return found.select(
+        "rank", F.regexp_extract("rule_id", "[0-9]+", 0).cast("long").alias("rule_no"), "rule_id", "observation",
+        F.substring("classification_id", 3, 20).cast("long").alias("number"),
+    )
+
+
 def _profiles(spark, sf_dir, side):
     """One profile per part: two metadata fields, a status and a sample count; sides differ by rule."""
     shift = 0 if side == "baseline" else 1

@@ -21,6 +21,7 @@ from gristmill.sources import adapters as A
 from gristmill.sources import bench as B
 from gristmill.sources import cgroup as G
 from gristmill.sources import perf_script as P
+from gristmill.sources import rule_tables as RT
 from gristmill.sources import trace_text as T
 
 
@@ -253,3 +254,40 @@ def recomputed_hotspots(spark, sf_dir):
     paths = H.export_call_paths(H.call_paths(samples))
     quality = samples.select("capture_id").distinct().withColumn("omitted_call_path_weight", F.lit(0))
     return Q.recomputed_hotspots_differ(damaged, paths, quality).select("capture_id", "symbol", "dso", "side")
+
+
+# a rule file for every part, of two documents; the second is damaged by rule
+@query(
+    "rule_documents",
+    """with p as (select p_partkey, p_size, p_brand, p_type, case p_partkey % 8 when 1 then 'missing_id' when 2 then 'missing_symbol_pattern' when 3 then 'invalid_pattern'
+  when 4 then 'unknown_scope' when 5 then 'unknown_confidence' when 6 then 'missing_category' end as reason from part),
+f as (select *, printf('%08d', p_partkey) as path from p)
+select path, 0 as position, null as reason, 'first ' || p_partkey as rule_id, cast(p_size as double) as self_percent_gte, p_brand as symbol_pattern, '^' || p_type as dso_pattern from f
+union all select path, 1, reason, case when reason is null then 'second ' || p_partkey end, case when reason is null then 0.0 end, case when reason is null then 'a[bc]' end, null from f""",
+)
+def rule_documents(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    damage = F.col("p_partkey") % 8
+
+    def unless(n: int, text: str) -> F.Column:
+        return F.when(damage == n, F.lit("null")).otherwise(F.lit(text))
+
+    first = F.concat(
+        F.lit('{"id":"first '), key, F.lit('","version":3,"scope":"linux","match":{"symbol_regex":["'), "p_brand", F.lit('"],"dso_regex":["^'), "p_type",
+        F.lit('"]},"thresholds":{"self_percent_gte":'), F.col("p_size").cast("string"), F.lit('},"classification":{"category":"c","confidence":"medium"},"observation":"o"}'),
+    )
+    second = F.concat(
+        F.lit('{"id":'), F.when(damage == 1, "null").otherwise(F.concat(F.lit('"second '), key, F.lit('"'))),
+        F.lit(',"scope":'), unless(4, '"cpp"'), F.lit(',"match":{"symbol_regex":'), F.when(damage == 2, "[]").when(damage == 3, '["a", "(b"]').otherwise('["a[bc]"]'),
+        F.lit('},"classification":{"category":'), unless(6, '"c"'), F.lit(',"confidence":'), F.when(damage == 5, '"certain"').otherwise('"low"'), F.lit("}}"),
+    )
+    files = part.select(F.format_string("%08d", "p_partkey").alias("path"), F.concat(F.lit(" ["), first, F.lit(",\n"), second, F.lit("]")).alias("text"))
+    rules, rejects = RT.parse_rules(files)
+    # rules are numbered by file and place; each file has one rule or two
+    kept = rules.select(
+        F.regexp_extract("rule_id", "[0-9]+", 0).cast("int").alias("n"), F.when(F.col("rule_id").startswith("first"), 0).otherwise(1).alias("position"),
+        F.lit(None).cast("string").alias("reason"), "rule_id", "self_percent_gte", F.col("symbol_regex")[0].alias("symbol_pattern"), F.get("dso_regex", F.lit(0)).alias("dso_pattern"),
+    )
+    kept = kept.select(F.format_string("%08d", "n").alias("path"), *kept.columns[1:])
+    return kept.unionByName(rejects, allowMissingColumns=True)
