@@ -6,7 +6,7 @@ import importlib
 
 from gristmill.plans import registry
 
-_MODULES = ("profile_queries", "trace_queries", "compare_queries", "runtime_queries", "redact_queries", "source_queries", "verify_queries", "probe_queries")
+_MODULES = ("profile_queries", "trace_queries", "compare_queries", "runtime_queries", "redact_queries", "source_queries", "verify_queries", "probe_queries", "jfr_queries")
 
 
 def _load() -> None:

@@ -167,12 +167,13 @@ def jfr_duration_ns(text: Column) -> Column:
 
 
 _JFR_THREAD = "struct<osThreadId: bigint, javaThreadId: bigint, virtual: boolean>"
-JFR = (
-    "struct<recording: struct<events: array<struct<type: string, `values`: struct<startTime: string, duration: string,"
+JFR_EVENT = (
+    "struct<type: string, `values`: struct<startTime: string, duration: string,"
     f" eventThread: {_JFR_THREAD}, previousOwner: {_JFR_THREAD}, notifier: {_JFR_THREAD}, timedOut: boolean,"
     " address: bigint, amount: bigint, stackTrace: struct<truncated: boolean, frames: array<struct<method: struct<name: string,"
-    " type: struct<name: string, package: struct<module: struct<name: string>>>>>>>>>>>>"
+    " type: struct<name: string, package: struct<module: struct<name: string>>>>>>>>>"
 )
+JFR = f"struct<recording: struct<events: array<{JFR_EVENT}>>>"
 
 
 def _jfr_thread(thread: Column, pid: Column) -> Column:
@@ -212,7 +213,11 @@ def jfr_frames(trace: Column) -> Column:
 
 def jfr_events(documents: DataFrame) -> DataFrame:
     """Monitor and park events as thresholded wait ends, timed relative to the first start."""
-    rows = jfr_rows(documents)
+    return jfr_waits(jfr_rows(documents))
+
+
+def jfr_waits(rows: DataFrame) -> DataFrame:
+    """``jfr_events`` of the rows ``capture_id, target_pid, source_index, event``."""
     e = F.col("event")
     v = e["values"]
     starts = rows.where(e["type"].isin(*JFR_EVENTS)).withColumn("start_ns", jfr_time_ns(v["startTime"])).withColumn(
