@@ -25,29 +25,47 @@ def is_candidate() -> Column:
     return F.col("event_type").isin(*CANDIDATES)
 
 
-def lock_steps(events: DataFrame) -> DataFrame:
-    """Exact lock rows and one end row per subject, with what is pending just before them."""
+def carried(steps: DataFrame) -> DataFrame:
+    """What ``lock_steps`` of later events has to know of these: one ``carry`` row per subject."""
+    return steps.where("event_type = 'end'").select(
+        *SUBJECT,
+        (F.col("event_index") - 1).alias("event_index"),
+        F.lit("carry").alias("event_type"),
+        F.struct("waits", "wait", "acquires", "acquire").alias("carry"),
+    )
+
+
+def lock_steps(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Exact lock rows and one end row per subject, with what is pending just before them.
+
+    ``carry`` (see ``carried``) continues subjects whose earlier events were taken before.
+    """
     kind = F.col("event_type")
+
+    def carry_or(name: str, value: Column) -> Column:
+        return value if carry is None else F.when(kind == "carry", F.col("carry")[name]).otherwise(value)
+
     path = "path" if "path" in events.columns else "path_no"
     rows = events.where(~is_candidate()).select(
         *SUBJECT, "event_index", "event_id", "ts_ns", "event_type", F.col(path).alias("path"), "owner_evidence"
     )
-    rows = cut(rows)  # narrow; read for the end rows and the windows
+    rows = cut(rows if carry is None else rows.unionByName(carry, allowMissingColumns=True))  # narrow; read for the end rows and the windows
     end = rows.groupBy(*SUBJECT).agg((F.max("event_index") + 1).alias("event_index"))
     rows = rows.unionByName(end.withColumn("event_type", F.lit("end")), allowMissingColumns=True)
     row = F.struct("ts_ns", "event_id", "path", "owner_evidence")
-    return running(
+    out = running(
         rows,
         SUBJECT,
         "event_index",
         {
-            "waits": count_since(kind == "lock_wait", kind.isin(*WAIT_ENDS), inclusive=False),
-            "wait": running_last(F.when(kind == "lock_wait", row), inclusive=False),
-            "acquires": count_since(kind == "acquired", kind == "released", inclusive=False),
-            "acquire": running_last(F.when(kind == "acquired", row), inclusive=False),
+            "waits": count_since(carry_or("waits", (kind == "lock_wait").cast("long")), kind.isin(*WAIT_ENDS), inclusive=False),
+            "wait": running_last(carry_or("wait", F.when(kind == "lock_wait", row)), inclusive=False),
+            "acquires": count_since(carry_or("acquires", (kind == "acquired").cast("long")), kind == "released", inclusive=False),
+            "acquire": running_last(carry_or("acquire", F.when(kind == "acquired", row)), inclusive=False),
         },
         SPAN_ROWS,
     )
+    return out if carry is None else out.where(kind != "carry").drop("carry")
 
 
 def wait_intervals(steps: DataFrame) -> DataFrame:

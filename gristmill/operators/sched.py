@@ -57,13 +57,30 @@ def _column(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def transitions(events: DataFrame) -> DataFrame:
+def carried(steps: DataFrame) -> DataFrame:
+    """What ``transitions`` of later events has to know of these: one ``carry`` row per thread."""
+    return steps.where("event_type = 'end'").select(
+        *THREAD,
+        (F.col("event_index") - 1).alias("event_index"),
+        F.lit("carry").alias("event_type"),
+        F.struct("runs", "before", "wake", "gap", "kept", "run_cpu").alias("carry"),
+    )
+
+
+def transitions(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Switch, migrate and end-of-trace rows with the thread state just before them.
 
     ``runs`` counts the switch-ins since the last switch-out, ``before`` is the previous switch row,
     ``wakes`` the number of wakeups that are still pending and ``wake`` the latest of them.
+
+    ``carry`` (see ``carried``) continues threads whose earlier events were taken before; a thread of
+    ``carry`` without events only gets its end row.
     """
     kind = F.col("event_type")
+    is_carry = kind == "carry"
+
+    def carry_or(name: str, value: Column) -> Column:
+        return value if carry is None else F.when(is_carry, F.col("carry")[name]).otherwise(value)
     rows = events.where(kind.isin("switch_in", "switch_out", "wakeup", "migrate")).select(
         *THREAD,
         (F.col("step") if "step" in events.columns else F.col("event_index")).alias("event_index"),
@@ -74,7 +91,7 @@ def transitions(events: DataFrame) -> DataFrame:
         _column(events, "state", "string").alias("state"),
         _column(events, "waker_tid", "bigint").alias("waker_tid"),
     )
-    rows = cut(rows)  # narrow; read for the end rows and the windows
+    rows = cut(rows if carry is None else rows.unionByName(carry, allowMissingColumns=True))  # narrow; read for the end rows and the windows
     end = rows.groupBy(*THREAD).agg((F.max("event_index") + 1).alias("event_index"))
     rows = rows.unionByName(end.withColumn("event_type", F.lit("end")), allowMissingColumns=True)
 
@@ -85,13 +102,13 @@ def transitions(events: DataFrame) -> DataFrame:
         THREAD,
         "event_index",
         {
-            "runs": count_since(is_in, is_out, inclusive=False),
-            "gap": count_since(is_wake, is_switch, inclusive=False),
+            "runs": count_since(carry_or("runs", is_in.cast("long")), is_out, inclusive=False),
+            "gap": count_since(carry_or("gap", is_wake.cast("long")), is_switch, inclusive=False),
             "before": running_last(
-                F.when(is_switch, F.struct("event_type", "ts_ns", "event_id", "state")), inclusive=False
+                carry_or("before", F.when(is_switch, F.struct("event_type", "ts_ns", "event_id", "state"))), inclusive=False
             ),
             "wake": running_last(
-                F.when(is_wake, F.struct("ts_ns", "event_id", "waker_tid")), inclusive=False
+                carry_or("wake", F.when(is_wake, F.struct("ts_ns", "event_id", "waker_tid"))), inclusive=False
             ),
         },
         SPAN_ROWS,
@@ -106,16 +123,18 @@ def transitions(events: DataFrame) -> DataFrame:
         {
             # a duplicate switch-in leaves the wakeups before it pending
             "kept": running_last(
-                F.when(is_switch, F.when(duplicate, F.col("gap")).otherwise(F.lit(0).cast("long"))),
+                carry_or("kept", F.when(is_switch, F.when(duplicate, F.col("gap")).otherwise(F.lit(0).cast("long")))),
                 inclusive=False,
             ),
             "run_cpu": running_last(
-                F.when(closes | (kind == "migrate"), F.col("cpu")), inclusive=False
+                carry_or("run_cpu", F.when(closes | (kind == "migrate"), F.col("cpu"))), inclusive=False
             ),
         },
         SPAN_ROWS,
     )
-    return out.withColumn("wakes", F.col("gap") + F.coalesce("kept", F.lit(0))).drop("gap", "kept")
+    if carry is not None:
+        out = out.where(~is_carry).drop("carry")
+    return out.withColumn("wakes", F.col("gap") + F.coalesce("kept", F.lit(0)))
 
 
 def _is_effective() -> Column:
