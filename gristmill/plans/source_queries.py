@@ -222,6 +222,10 @@ select capture_id, case when event_type = 'view' then 'malformed' when event_typ
   when i % 37 = 36 then 'out_of_order' when event_type = 'error' then 'unsupported' when not target then 'foreign' else 'accepted' end as disposition, count(*) as lines from e group by all""",
 )
 def transcript_lines(spark, sf_dir):
+    return transcript_lines_judged(spark, sf_dir).groupBy("capture_id", "disposition").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def transcript_lines_judged(spark, sf_dir):
     rows = views.event_rows(spark, sf_dir)
     kind, tid = F.col("event_type"), (F.col("user_id") % 10).cast("string")
     # times rise with the line; every 37th line steps back behind those before it
@@ -238,8 +242,7 @@ def transcript_lines(spark, sf_dir):
     targets = spark.range(5).select(
         F.col("id").alias("capture_id"), F.lit(70).alias("target_pid"), F.lit(_TRACE_TARGETS).cast("array<bigint>").alias("target_tids")
     )
-    judged = T.judge_trace(T.parse_trace(lines), targets, "sched")
-    return judged.groupBy("capture_id", "disposition").agg(F.count(F.lit(1)).alias("lines"))
+    return T.judge_trace(T.parse_trace(lines), targets, "sched")
 
 
 @query(
