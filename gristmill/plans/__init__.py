@@ -6,7 +6,7 @@ import importlib
 
 from gristmill.plans import registry
 
-_MODULES = ("profile_queries", "trace_queries", "compare_queries", "runtime_queries", "redact_queries", "source_queries", "verify_queries", "probe_queries", "jfr_queries", "stream_queries", "profile_text_queries", "import_queries")
+_MODULES = ("profile_queries", "trace_queries", "compare_queries", "runtime_queries", "redact_queries", "source_queries", "verify_queries", "probe_queries", "jfr_queries", "stream_queries", "profile_text_queries", "import_queries", "report_queries")
 
 
 def _load() -> None:

@@ -117,7 +117,7 @@ def read_folded(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.struct("block_start", "row_id").alias("sample_seq"),
         "line",
     )
-    return _full_samples(folded_samples(parse_folded(lines)))
+    return full_samples(folded_samples(parse_folded(lines)))
 
 
 def read_folded_parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -128,7 +128,7 @@ def read_folded_parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_folded(lines)
 
 
-def _full_samples(samples: DataFrame) -> DataFrame:
+def full_samples(samples: DataFrame) -> DataFrame:
     defaults = {
         "process_id": F.lit(None).cast("int"),
         "thread_id": F.lit(None).cast("long"),
