@@ -36,7 +36,7 @@ def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _runs_of(window: int, anchor: int):
     def runs(text: str) -> rolling.Runs:
-        return rolling.anchor_runs(rolling.word_grams(_word_hashes(text)[3], anchor), window - anchor + 1)
+        return rolling.spread_runs(rolling.word_grams(_word_hashes(text)[3], anchor), window - anchor + 1)
 
     return runs
 
@@ -55,7 +55,7 @@ def _open_runs(table, window: int, anchor: int):
             columns: list[list] = [[] for _ in range(9)]
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")):
                 data, starts, ends, hashes = _word_hashes(text.as_py())
-                runs = rolling.anchor_runs(rolling.word_grams(hashes, anchor), window - anchor + 1)
+                runs = rolling.spread_runs(rolling.word_grams(hashes, anchor), window - anchor + 1)
                 if not len(runs.anchor):
                     continue
                 keep = np.flatnonzero(rolling.in_table(table.value, runs.anchor))

@@ -126,6 +126,15 @@ def anchor_runs(grams: np.ndarray, width: int) -> Runs:
     return Runs(grams[place[starts]], starts, counts)
 
 
+def spread_runs(grams: np.ndarray, width: int) -> Runs:
+    """``anchor_runs`` with anchors mixed once more.
+
+    Least values are small ones: as they are they would share the first few slots of every table.
+    """
+    runs = anchor_runs(grams, width)
+    return runs._replace(anchor=mix(runs.anchor))
+
+
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 

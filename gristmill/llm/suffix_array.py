@@ -53,7 +53,7 @@ def _steps(length: int) -> tuple[int, int, int]:
 def _runs_of(length: int, anchor: int):
     def runs(text: str) -> rolling.Runs:
         data = np.frombuffer(text.encode(), np.uint8)
-        return rolling.anchor_runs(rolling.byte_grams(data, anchor), length - anchor + 1)
+        return rolling.spread_runs(rolling.byte_grams(data, anchor), length - anchor + 1)
 
     return runs
 

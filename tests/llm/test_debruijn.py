@@ -111,3 +111,13 @@ def test_runs_of_a_text_with_more_grams_than_positions(monkeypatch):
     assert runs.start.tolist() == starts
     assert runs.count.tolist() == np.diff([*starts, len(place)]).tolist()
     assert runs.anchor.tolist() == [int(grams[place[i]]) for i in starts]
+
+
+def test_spread_runs_fill_tables_evenly():
+    """Anchors are least hashes; mixed, as many fall into the upper half of the values as into the lower."""
+    grams = rolling.byte_grams(np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8), 64)
+    plain, spread = rolling.anchor_runs(grams, 137), rolling.spread_runs(grams, 137)
+    assert spread.start.tolist() == plain.start.tolist() and spread.count.tolist() == plain.count.tolist()
+    assert len(np.unique(spread.anchor)) == len(np.unique(plain.anchor))
+    assert (plain.anchor >> np.uint64(63)).sum() == 0
+    assert abs((spread.anchor >> np.uint64(63)).mean() - 0.5) < 0.05
