@@ -142,11 +142,10 @@ def _same_subject() -> Column:
     return F.coalesce(same & ~late, F.lit(False))
 
 
-def _state(rows: DataFrame, nested: bool, span: int | None) -> DataFrame:
-    """Wait/acquire/release rows with what is pending on their subject just before them."""
-    kind, verdict = F.col("event_kind"), F.col("verdict")
-    holds_ref = F.col("ref_id").isNull() | (verdict == "ok")
-    foreign = rows.where((verdict == "mismatch") & kind.isin("wait_end", "release")).select(
+def _foreign_clears(rows: DataFrame) -> DataFrame:
+    """Ends that name a row of another subject drop what is open there."""
+    kind = F.col("event_kind")
+    return rows.where((F.col("verdict") == "mismatch") & kind.isin("wait_end", "release")).select(
         "capture_id",
         F.col("ref.context").alias("context"),
         F.col("ref.lock_key").alias("lock_key"),
@@ -154,7 +153,13 @@ def _state(rows: DataFrame, nested: bool, span: int | None) -> DataFrame:
         "event_index",
         F.when(kind == "wait_end", "clear_wait").otherwise("clear_hold").alias("event_kind"),
     )
-    ops = rows.unionByName(foreign, allowMissingColumns=True)
+
+
+def _state(rows: DataFrame, nested: bool, span: int | None) -> DataFrame:
+    """Wait/acquire/release rows with what is pending on their subject just before them."""
+    kind, verdict = F.col("event_kind"), F.col("verdict")
+    holds_ref = F.col("ref_id").isNull() | (verdict == "ok")
+    ops = rows.unionByName(_foreign_clears(rows), allowMissingColumns=True)
     clears_wait = (kind.isin("wait_end", "acquire") & holds_ref) | (kind == "clear_wait")
     pushes = (kind == "acquire") & holds_ref
     clears_hold = ((kind == "release") & holds_ref) | (kind == "clear_hold")
@@ -499,7 +504,9 @@ def _open_at_end(effects: DataFrame, span: int | None) -> DataFrame:
         *SUBJECT, "lock_id", "event_index", "event_id", "event_kind", "ts_ns", "stack_id", "owner_context",
         "ref_id", "ref", "verdict",
     )
-    end = rows.groupBy(*SUBJECT).agg(
+    # rows of other subjects that clear this one may come after its own last row
+    ends = rows.select(*SUBJECT, "lock_id", "event_index").unionByName(_foreign_clears(rows).drop("event_kind"), allowMissingColumns=True)
+    end = ends.groupBy(*SUBJECT).agg(
         (F.max("event_index") + 1).alias("event_index"), F.max("lock_id").alias("lock_id")
     )
     probe = rows.unionByName(end.withColumn("event_kind", F.lit("end")), allowMissingColumns=True)

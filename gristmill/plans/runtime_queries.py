@@ -10,6 +10,7 @@ from gristmill.operators import runtime_locks as R
 from gristmill.operators.ordered import cut
 from gristmill.plans import views
 from gristmill.plans.registry import query
+from gristmill.plans.replay_sql import replay_sql
 from gristmill.plans.trace_queries import _PRE, dist_sql
 
 _KEY = "capture_id, context, lock_key, lock_kind"
@@ -289,8 +290,13 @@ def rt_compare(spark, sf_dir):
     )
 
 
-@query("rt_referenced")
+@query(
+    "rt_referenced",
+    f"""with recursive {_DUCK_REPLAY.replace(views.DUCK_RUNTIME, views.DUCK_REFERENCED)}, {replay_sql('referenced')}
+select capture_id, phase, reason, subject_id, related_id from rp_issues
+union all select capture_id, phase, reason, cast(s as varchar), cast(r as varchar) from iss where phase = 'park'""",
+)
 def rt_referenced(spark, sf_dir):
-    """Replay of streams whose rows name each other, with nested locks; no SQL twin."""
+    """Replay of streams whose rows name each other, with nested locks; the twin is a second replay."""
     result = replayed(spark, sf_dir, references=True)
     return result.issues.select("capture_id", "phase", "reason", "subject_id", "related_id")

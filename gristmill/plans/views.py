@@ -255,3 +255,23 @@ rt as (select *, case when event_kind = 'wait_end' then coalesce(ts_ns - b_ts, 1
   case when event_kind = 'sampled_contention' then k + 1 end as observed_count,
   case when event_kind = 'sampled_contention' then ts_ns % 1000000 + 1 end as cumulative_wait_ns from rt1)"""
 )
+
+# the same with references: recursive mutexes take part, ends name the open begin of their subject or the row 40 ids before
+DUCK_REFERENCED = (
+    DUCK_RUNTIME.replace(
+        "rt1 as (select *,", "rt1 as (select * replace (case when lock_id = '1' then 'recursive_mutex' else lock_kind end as lock_kind),"
+    )
+    + """, rc as (select *, count(*) filter (event_kind in ('wait_end', 'acquire')) over w as c_wait, count(*) filter (event_kind = 'release') over w as c_hold,
+    count(*) filter (event_kind = 'acquire') over w as c_take, last_value(case when event_kind = 'wait_end' then event_id end ignore nulls) over w as e_id
+  from rt window w as (partition by capture_id, context, lock_key, lock_kind order by event_index rows between unbounded preceding and 1 preceding)),
+rn as (select *,
+    count(*) filter (event_kind = 'wait_begin') over (partition by capture_id, context, lock_key, lock_kind, c_wait order by event_index rows between unbounded preceding and 1 preceding) as begins,
+    count(*) filter (event_kind = 'acquire') over (partition by capture_id, context, lock_key, lock_kind, c_hold order by event_index rows between unbounded preceding and 1 preceding) as takes,
+    count(*) filter (event_kind = 'wait_end') over (partition by capture_id, context, lock_key, lock_kind, c_take order by event_index rows between unbounded preceding and 1 preceding) as ends
+  from rc),
+referenced as (select capture_id, event_index, cast(event_id as varchar) as event_id, ts_ns, context, event_kind, semantics, lock_key, lock_kind,
+    duration_ns, hold_duration_ns, outcome, cast(case
+      when event_kind = 'wait_end' and begins % 2 = 1 then case when event_id % 9 = 0 then event_id - 40 else b_id end
+      when event_kind = 'acquire' and ends % 2 = 1 then case when event_id % 9 = 0 then event_id - 40 else e_id end
+      when event_kind = 'release' and takes % 2 = 1 then case when event_id % 9 = 0 then event_id - 40 else a_id end end as varchar) as ref_id from rn)"""
+)
