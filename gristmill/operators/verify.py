@@ -99,6 +99,11 @@ def conserved(name: str, parts: DataFrame, totals: DataFrame, measures: list[str
     ).select(*REPORT)
 
 
+def sums(parts: DataFrame, measures: list[str]) -> DataFrame:
+    """Per capture, the sums of ``measures`` as numbers of 38 digits: the times of many threads together exceed a long."""
+    return parts.groupBy("capture_id").agg(*[F.sum(F.col(m).cast("decimal(38,0)")).alias(m) for m in measures])
+
+
 def unique(name: str, rows: DataFrame, key: list[str]) -> DataFrame:
     """Check row per capture: rows beyond the first of each ``key``."""
     counts = rows.groupBy("capture_id", *key).agg(F.count(F.lit(1)).alias("__n"))

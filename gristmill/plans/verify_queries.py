@@ -240,7 +240,7 @@ union all {_conserved_sql('off_cpu_totals_conserved', 'd', 's', _OFF_MEASURES)}"
 )
 def verify_off_cpu_threads(spark, sf_dir):
     threads = cut(R.off_cpu_summary(R.transitions(views.sched_events(spark, sf_dir))))
-    totals = threads.groupBy("capture_id").agg(*[F.sum(m).alias(m) for m in _OFF_MEASURES])
+    totals = V.sums(threads, _OFF_MEASURES)
     bad = damaged(threads, _OFF_THREAD_DAMAGE)
     return V.report([V.off_cpu_thread_checks(bad), V.conserved("off_cpu_totals_conserved", bad, totals, _OFF_MEASURES)])
 

@@ -90,3 +90,29 @@ def test_known_and_captures_without_rows(spark):
     checks = V.evaluate(rows, [V.Check("named", F.col("ref").isNull())], captures=table)
     assert rows_of(checks) == {(1, "named"): (4, 1), (2, "named"): (0, 0)}
     assert {tuple(r) for r in V.verdicts(checks).select("capture_id", "status", F.array_join("broken", ",")).collect()} == {(1, "failed", "named"), (2, "passed", "")}
+
+
+def test_sums_beyond_a_long(spark):
+    """The off-CPU times of a capture's threads together exceed 64 bits."""
+    big = 9 * 10**18
+    threads = spark.createDataFrame([(1, big, 1), (1, big, 2), (1, big - 1, None), (2, 5, 1)], "capture_id int, x long, y long")
+    totals = V.sums(threads, ["x", "y"])
+    assert {r["capture_id"]: (r["x"], r["y"]) for r in totals.collect()} == {1: (3 * big - 1, 3), 2: (5, 1)}
+    assert rows_of(V.conserved("sum", threads, totals, ["x", "y"])) == {(1, "sum"): (2, 0), (2, "sum"): (2, 0)}
+    less = threads.where(F.col("x") != big - 1)
+    assert rows_of(V.conserved("sum", less, totals, ["x", "y"])) == {(1, "sum"): (2, 1), (2, "sum"): (2, 0)}
+
+
+def test_off_cpu_query_totals_beyond_a_long(spark, monkeypatch):
+    """The query itself over threads whose times together exceed 64 bits; only the damage it makes is found."""
+    from gristmill.plans import verify_queries as Q
+
+    counts = "complete_count split_complete_count incomplete_count sleep_count unknown_category_count off_cpu_sample_count blocked_sample_count runnable_sample_count unknown_sample_count".split()
+    times = "off_cpu_total_ns blocked_total_ns runnable_total_ns unknown_total_ns".split()
+    rows = [(1, tid, *[0] * len(counts), 9 * 10**18, 9 * 10**18, 0, 0) for tid in (10, 20, 40)]  # ids that the query does not damage
+    threads = spark.createDataFrame(rows, ", ".join(["capture_id int", "tid long", *[f"{n} long" for n in (*counts, *times)]]))
+    monkeypatch.setattr(Q.views, "sched_events", lambda *a: None)
+    monkeypatch.setattr(Q.R, "transitions", lambda rows: rows)
+    monkeypatch.setattr(Q.R, "off_cpu_summary", lambda steps: threads)
+    found = {r["check"]: r["failures"] for r in Q.verify_off_cpu_threads(spark, "").collect()}
+    assert found["off_cpu_totals_conserved"] == 0
