@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.plans import views
 from gristmill.plans.registry import query
@@ -23,13 +24,12 @@ _AT = "case damage " + " ".join(f"when {d} then {at}" for d, (_, at) in _BAD.ite
 def documents(spark, sf_dir):
     """(capture_id, document): texts hold commas, brackets and quotes inside strings, and line breaks between fields."""
     events = views.table(spark, sf_dir, "events")
-    files = spark.sql(_FILES, events=events)
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     number = lambda c: c.cast("string")
-    rows = events.select("user_id", "event_id", "event_type", "ts").join(files, "user_id")
-    from gristmill.operators.ordered import dense_index
-
-    rows = dense_index(rows, ["user_id"], ["event_id"], F.floor(F.col("event_id") / F.lit(65536)), "i").withColumn("place", F.col("i") + 1)
+    # a document stands in one row here, so the rows of a user meet once, before their texts are made
+    own = Window.partitionBy("user_id")
+    rows = events.where("user_id is not null").select("user_id", "event_id", "ts", F.row_number().over(own.orderBy("event_id")).cast("long").alias("place"), F.count(F.lit(1)).over(own).alias("n"))
+    rows = rows.withColumn("m", F.expr("n div 2 + 1")).withColumn("damage", (F.col("user_id") % 15).cast("int"))
     d, e = F.col("damage"), F.col("event_id")
     hit = F.col("place") == F.col("m")
     virtual = e % 3 == 0
@@ -62,7 +62,7 @@ def documents(spark, sf_dir):
 
 def read(spark, sf_dir):
     made = documents(spark, sf_dir)
-    targets = made.select("capture_id", F.lit(7).cast("long").alias("target_pid"), F.lit(21).alias("jdk_major"), F.lit(10_000).cast("long").alias("threshold_ns"))
+    targets = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("capture_id")).distinct().select("capture_id", F.lit(7).cast("long").alias("target_pid"), F.lit(21).alias("jdk_major"), F.lit(10_000).cast("long").alias("threshold_ns"))
     return J.read_documents(J.pieces_of(made), targets)
 
 

@@ -3,9 +3,9 @@
 A document is ``{"recording": {"events": [ ... ]}}``, often on one line, so it cannot be split at line ends.
 It is read in pieces between commas, which every split of the file gives by itself.  Whether a piece starts
 inside a string depends on the number of quotes before it, and how deep it is nested on the brackets before
-it: both are running sums, scanned per span of pieces with the sums of the spans carried over.  A comma at the
+it: both are running sums, scanned per chunk of pieces with the sums of the chunks carried over.  A comma at the
 depth of the array ends an element, and the pieces of an element are put together again.  No task holds a
-document, only elements.
+document, only elements and chunks of pieces; only numbers are scanned over the chunks.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gristmill.operators.ordered import cut, dense_index, running, running_sum
+from gristmill.operators.ordered import cut, cut_texts, dense_index, running, running_sum
 from gristmill.sources.adapters import JFR_EVENT, JFR_EVENTS, jfr_duration_ns, jfr_time_ns, jfr_waits
 
 # fixed values: the frame of a document, the fields of each event, all field names, the depth of the array
 PREFIX = r'^\s*\{\s*"recording"\s*:\s*\{\s*"events"\s*:\s*\['
 SUFFIX = r"\]\s*\}\s*\}\s*$"
 DEPTH = 3
+# pieces are handled in chunks of 2^8, so that their texts are shuffled in bulk
+CHUNK_BITS = 8
 _WAIT_FIELDS = ("startTime", "duration", "eventThread", "stackTrace", "address")
 FIELDS = {
     "jdk.JavaMonitorEnter": (*_WAIT_FIELDS, "monitorClass", "previousOwner"),
@@ -71,24 +74,71 @@ def _count(text: Column, letters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
 
 
-def _nested(pieces: DataFrame) -> DataFrame:
-    """Pieces with ``depth`` and ``in_string`` at their end and the number of the element they belong to."""
-    bare = F.regexp_replace("piece", r"(?s)\\.", "")  # an escape never spans a comma
-    rows = cut(pieces.select("capture_id", "piece_no", "piece", bare.alias("bare")).withColumn("quotes", _count(F.col("bare"), '"')))
-    rows = running(rows, ["capture_id"], "piece_no", {"quotes_before": running_sum(F.col("quotes"), inclusive=False)})
-    starts_inside = F.col("quotes_before") % 2 == 1
-    outside = F.when(starts_inside, F.regexp_replace("bare", '^[^"]*"?', "")).otherwise(F.col("bare"))
-    plain = F.regexp_replace(outside, '"[^"]*"?', "")
-    step = _count(plain, "{[") - _count(plain, "}]")
-    # nothing opens behind a closing bracket without a comma between them: there the document has ended
-    rows = rows.withColumn("step", step).withColumn("reopened", plain.rlike(r"(?s)[}\]].*[{\[]")).withColumn("in_string", (F.col("quotes_before") + F.col("quotes")) % 2 == 1).drop("bare", "quotes", "quotes_before")
-    rows = cut(running(rows, ["capture_id"], "piece_no", {"depth": running_sum(F.col("step"))}))
-    last = rows.groupBy("capture_id").agg(F.max("piece_no").alias("last_piece"))
-    rows = rows.join(last, "capture_id").withColumn("last", F.col("piece_no") == F.col("last_piece")).drop("last_piece", "step")
+def _nothing_quoted(bare: Column, inside: bool) -> Column:
+    """What stands outside of strings, where the text begins ``inside`` one or not."""
+    return F.regexp_replace(F.regexp_replace(bare, '^[^"]*"?', "") if inside else bare, '"[^"]*"?', "")
+
+
+def _steps(plain: Column) -> Column:
+    return _count(plain, "{[") - _count(plain, "}]")
+
+
+def _before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Add sums over the earlier chunks of the document."""
+    return running(rows, ["capture_id"], "chunk", {name: running_sum(value, inclusive=False) for name, value in sums.items()})
+
+
+def _fragments(pieces: DataFrame) -> DataFrame:
+    """Pieces put together as far as they are of one element and one chunk.
+
+    ``capture_id, chunk, local`` (number of the element within the chunk), ``text``, ``ended`` (the element ends here),
+    ``last``, ``depth`` at the end and ``closings``, how often the array was closed within the chunk so far.
+    """
+    chunk = F.shiftright("piece_no", CHUNK_BITS).alias("chunk")
+    chunks = pieces.groupBy("capture_id", chunk).agg(F.sort_array(F.collect_list(F.struct("piece_no", "piece"))).alias("ps"))
+    chunks = cut_texts(chunks.select("capture_id", "chunk", F.transform("ps", lambda p: p["piece"]).alias("ps")))
+    # an escape never spans a comma; what a chunk adds to the depth is counted for both ways it may begin
+    bare = chunks.select("capture_id", "chunk", F.regexp_replace(F.array_join("ps", ","), r"(?s)\\.", "").alias("bare"))
+    starts = cut(
+        bare.select(
+            "capture_id", "chunk", _count(F.col("bare"), '"').alias("quotes"),
+            *[_steps(_nothing_quoted(F.col("bare"), inside)).alias(f"step_{inside:d}") for inside in (False, True)],
+        )
+    )
+    starts = _before(starts, {"quotes_first": F.col("quotes")})
+    starts = cut(starts.withColumn("step", F.when(F.col("quotes_first") % 2 == 1, F.col("step_1")).otherwise(F.col("step_0"))))
+    starts = _before(starts, {"depth_first": F.col("step")}).select("capture_id", "chunk", "quotes_first", "depth_first")
+    ends = starts.groupBy("capture_id").agg(F.max("chunk").alias("last_chunk"))
+    starts = cut(starts.join(ends, "capture_id").withColumn("last_chunk", F.col("chunk") == F.col("last_chunk")))
+    rows = chunks.join(starts, ["capture_id", "chunk"]).withColumn("last_n", F.size("ps") - 1)
+    rows = rows.select("capture_id", "chunk", "quotes_first", "depth_first", "last_chunk", "last_n", F.posexplode("ps").alias("n", "piece"))
+    # the rows of a chunk are together already, so these windows shuffle nothing
+    order = Window.partitionBy("capture_id", "chunk").orderBy("n")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    rows = rows.withColumn("bare", F.regexp_replace("piece", r"(?s)\\.", "")).withColumn("quotes", _count(F.col("bare"), '"'))
+    rows = rows.withColumn("quotes_before", F.col("quotes_first") + F.coalesce(F.sum("quotes").over(before), none))
+    inside = F.col("quotes_before") % 2 == 1
+    rows = rows.withColumn("plain", F.when(inside, _nothing_quoted(F.col("bare"), True)).otherwise(_nothing_quoted(F.col("bare"), False)))
+    rows = rows.select(
+        "capture_id", "chunk", "n", "piece", "depth_first", (F.col("last_chunk") & (F.col("n") == F.col("last_n"))).alias("last"), _steps(F.col("plain")).alias("step"),
+        # nothing opens behind a closing bracket without a comma between them: there the document has ended
+        F.col("plain").rlike(r"(?s)[}\]].*[{\[]").alias("reopened"), ((F.col("quotes_before") + F.col("quotes")) % 2 == 1).alias("in_string"),
+    )
+    rows = rows.withColumn("depth", F.col("depth_first") + F.sum("step").over(upto))
     # once the array is closed, nothing more is an element
-    rows = running(rows, ["capture_id"], "piece_no", {"closed": running_sum(F.when((F.col("depth") < DEPTH) | F.col("reopened"), 1).otherwise(0).cast("long"))})
-    ends = (F.col("depth") == DEPTH) & (F.col("closed") == 0) & ~F.col("in_string") & ~F.col("last")
-    return running(rows, ["capture_id"], "piece_no", {"source_index": running_sum(F.when(ends, 1).otherwise(0).cast("long"), inclusive=False)})
+    rows = rows.withColumn("closings", F.sum(F.when((F.col("depth") < DEPTH) | F.col("reopened"), 1).otherwise(0).cast("long")).over(upto))
+    rows = rows.withColumn("ends", (F.col("depth") == DEPTH) & (F.col("closings") == 0) & ~F.col("in_string") & ~F.col("last"))
+    rows = rows.withColumn("local", F.coalesce(F.sum(F.col("ends").cast("long")).over(before), none))
+    return cut_texts(
+        rows.groupBy("capture_id", "chunk", "local").agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda p: p["piece"]), ",").alias("text"),
+            F.bool_or("ends").alias("ended"),
+            F.bool_or("last").alias("last"),
+            F.max(F.when(F.col("last"), F.col("depth"))).alias("depth"),
+            F.max("closings").alias("closings"),
+        )
+    )
 
 
 def elements(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,18 +147,28 @@ def elements(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``elements``: ``capture_id, source_index, text``.  ``frames``: one row per document, ``prefix_ok``, ``suffix_ok``,
     ``closed`` (all brackets are), ``events``.  The last element of a document that breaks off is what is left of it.
     """
-    rows = cut(_nested(pieces))
-    joined = rows.groupBy("capture_id", "source_index").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "piece"))), lambda p: p["piece"]), ",").alias("text"),
+    fragments = _fragments(pieces)
+    starts = cut(fragments.groupBy("capture_id", "chunk").agg(F.count_if("ended").alias("ends"), F.max("closings").alias("closed")))
+    starts = cut(_before(starts, {"closed_first": F.col("closed")}))
+    still_open = F.col("closed_first") == 0
+    starts = cut(_before(starts, {"ends_first": F.when(still_open, F.col("ends")).otherwise(0)}).select("capture_id", "chunk", "closed_first", "ends_first"))
+    rows = fragments.join(starts, ["capture_id", "chunk"]).select(
+        "capture_id", (F.col("ends_first") + F.when(still_open, F.col("local")).otherwise(0)).alias("source_index"), "chunk", "local", "text", "last",
+        F.col("depth").alias("end_depth"), (F.col("closed_first") + F.col("closings")).alias("closings"), (still_open & (F.col("local") > 0) & F.col("ended")).alias("whole"),
+    )
+    # elements that begin and end within a chunk are whole; only the others are put together
+    broken = rows.where(~F.col("whole")).groupBy("capture_id", "source_index").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "local", "text"))), lambda p: p["text"]), ",").alias("text"),
         F.bool_or("last").alias("last"),
-        F.max(F.when(F.col("last"), F.col("depth"))).alias("end_depth"),
-        F.max("closed").alias("closings"),
+        F.max("end_depth").alias("end_depth"),
+        F.max("closings").alias("closings"),
     )
+    joined = rows.where("whole").select(*broken.columns).unionByName(broken)
     first = F.col("source_index") == 0
     marked = joined.withColumn("prefix_ok", F.when(first, F.col("text").rlike(PREFIX))).withColumn("suffix_ok", F.when(F.col("last"), F.col("text").rlike(SUFFIX) & (F.col("closings") == 1)))
     text = F.when(first, F.regexp_replace("text", PREFIX, "")).otherwise(F.col("text"))
     text = F.when(F.col("last"), F.regexp_replace(text, SUFFIX, "")).otherwise(text)
-    marked = cut(marked.withColumn("text", F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))))
+    marked = cut_texts(marked.withColumn("text", F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))))
     frames = marked.groupBy("capture_id").agg(
         F.bool_and("prefix_ok").alias("prefix_ok"),
         F.bool_and("suffix_ok").alias("suffix_ok"),
@@ -180,7 +240,7 @@ def read_documents(pieces: DataFrame, targets: DataFrame) -> JfrDocuments:
         .when(lasted.isNull(), "INVALID_DURATION")
         .when(lasted < c("threshold_ns"), "BELOW_THRESHOLD")
     )
-    judged = cut(rows.withColumn("reason", reason).drop("outer", "keys", "eventThread", "previousOwner", "notifier", "closed"))
+    judged = cut_texts(rows.withColumn("reason", reason).drop("outer", "keys", "eventThread", "previousOwner", "notifier", "closed"))
     versions = judged.where((e["type"] == "jdk.JVMInformation") & c("reason").isNull())
     second = versions.join(versions.groupBy("capture_id").agg(F.min("source_index").alias("first")), "capture_id").where("source_index > first")
     problems = judged.where("reason is not null").select("capture_id", "source_index", "reason")

@@ -88,3 +88,17 @@ def test_waits_of_accepted_documents(spark):
     assert [(r.capture_id, r.source_event_id, r.ts_ns, r.duration_ns) for r in rows] == [("a", "jfr-event-2", 20_000, 20_000), ("a", "jfr-event-1", 3_000_020_000, 20_000)]
     nothing = judged(spark, {})
     assert nothing.captures.isEmpty() and J.document_waits(nothing).isEmpty()
+
+
+def test_long_documents_close_once_and_take_little_space(spark):
+    """Documents of many chunks, closed, broken off, closed twice; what is written on the way is less than their text."""
+    import os
+
+    text = whole([wait(i) for i in range(2000)])
+    documents = {"good": text, "cut": text[:-3], "twice": text + text}
+    folder = spark.conf.get("spark.checkpoint.dir")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    before = size()
+    found = {r.capture_id: (r.reason, r.source_index, r.events) for r in judged(spark, documents).captures.collect()}
+    assert found == {"good": (None, None, 2000), "cut": ("TRUNCATED", 1999, 2000), "twice": ("TRAILING_FIELDS", 1999, 2000)}
+    assert size() - before < sum(map(len, documents.values()))
