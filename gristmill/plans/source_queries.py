@@ -251,7 +251,7 @@ def transcript_lines_judged(spark, sf_dir):
 )
 def recomputed_hotspots(spark, sf_dir):
     """Every 50th hotspot is given a wrong weight; just these must be told from the call paths."""
-    samples = views.samples(spark, sf_dir)
+    samples = views.samples(spark, sf_dir, kept=True)
     spots = H.export_hotspots(H.hotspots(samples))
     damaged = spots.withColumn("self_weight", F.col("self_weight") + (F.col("rank") % 50 == 7).cast("bigint"))
     paths = H.export_call_paths(H.call_paths(samples))
