@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from gristmill.llm import rolling
@@ -36,6 +37,7 @@ GROUP = 32_768
 CHUNK = 1 << 21
 
 RUN_SCHEMA = "k1 long, k2 long, start int, count int, anchor long, content long"
+BODY_SCHEMA = "k1 long, k2 long, start int, count int, anchor long, body binary"
 
 
 def _steps(length: int) -> tuple[int, int, int]:
@@ -58,35 +60,60 @@ def _runs_of(length: int, anchor: int):
     return runs
 
 
+def _source_key(k1, start):
+    """Key of the run that starts at byte ``start`` of the text with key ``k1``; at -1 that of the text itself."""
+    with np.errstate(over="ignore"):
+        return rolling.mix(np.atleast_1d(np.asarray(start, np.int64) + 2).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.atleast_1d(np.asarray(k1, np.int64)).view(np.uint64))
+
+
+@F.arrow_udf(LongType())
+def source_keys(k1: pa.Array, start: pa.Array) -> pa.Array:
+    """``_source_key`` of each row."""
+    return rolling.signed(_source_key(k1.to_numpy(zero_copy_only=False), start.to_numpy(zero_copy_only=False)))
+
+
 def _open_runs(table, length: int, anchor: int, wanted=None):
     """The runs whose anchor is in the table, with a digest of their bytes.
 
-    With a second table only the runs whose digest, mixed with the text's key, is in that, and their bytes.
+    With a table of wanted sources (``_source_key``) only the runs that are in that, too, and their bytes instead
+    of the digest; texts that are no source are not searched for anchors again.
     """
     runs_of = _runs_of(length, anchor)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            columns: list[list] = [[] for _ in range(7)]
-            for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")):
+            keys = [batch.column(k).to_numpy() for k in ("k1", "k2")]
+            is_source = rolling.in_table(wanted.value, _source_key(keys[0], -1)) if wanted else None
+            found, rows, last = [], [], []
+            for at, text in enumerate(batch.column("text")):
+                if wanted and not is_source[at]:
+                    continue
                 text = text.as_py()
                 runs = runs_of(text)
                 if not len(runs.anchor):
                     continue
+                hit = rolling.in_table(table.value, runs.anchor)
+                if wanted:
+                    hit &= rolling.in_table(wanted.value, _source_key(keys[0][at], runs.start))
+                hit = np.flatnonzero(hit)
+                if not len(hit):
+                    continue
                 data = text.encode()
-                for i in np.flatnonzero(rolling.in_table(table.value, runs.anchor)):
-                    start, count = int(runs.start[i]), int(runs.count[i])
-                    body = data[start : start + count + length - 1]
-                    digest = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
-                    if wanted and not rolling.in_table(wanted.value, np.array([digest ^ k1], np.int64).view(np.uint64))[0]:
-                        continue
-                    row = (k1, k2, start, count, int(runs.anchor[i].view(np.int64)), digest, body if wanted else None)
-                    for column, value in zip(columns, row):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["k1", "k2", "start", "count", "anchor", "content", "body"]
-            kept = 7 if wanted else 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:kept], types)], names=names[:kept])
+                runs = rolling.Runs(*(part[hit] for part in runs))
+                ends = (runs.start + runs.count + length - 1).tolist()
+                bodies = [data[x:y] for x, y in zip(runs.start.tolist(), ends)]
+                found.append(runs)
+                rows.append(np.full(len(hit), at))
+                last += bodies if wanted else [hashlib.blake2b(b, digest_size=8).digest() for b in bodies]
+            empty = np.zeros(0, np.int64)
+            place = np.concatenate([empty, *rows])
+            start, count = (np.concatenate([empty, *(getattr(f, n) for f in found)]).astype(np.int32) for n in ("start", "count"))
+            anchors = np.concatenate([empty.view(np.uint64), *(f.anchor for f in found)])
+            body = pa.array(last, pa.binary()) if wanted else pa.array(np.frombuffer(b"".join(last), "<i8"))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(k[place]) for k in keys), pa.array(start), pa.array(count), rolling.signed(anchors), body],
+                names=["k1", "k2", "start", "count", "anchor", "body" if wanted else "content"],
+            )
 
     return run
 
@@ -160,19 +187,21 @@ def _sort_groups(length: int):
     """Islands (anchor, content, at, long) of repeated windows; the input is sorted by anchor, then content."""
 
     def islands(rows: list[tuple]) -> pa.RecordBatch:
-        found = []
+        columns: list = [[]] * 4
         if rows:
             counts = np.array([r[2] for r in rows])
             flags = sorted_repeats([r[4] for r in rows], counts, np.array([r[3] for r in rows]), length)
-            ends = np.cumsum(counts)
-            for (anchor, content, count, *_), end in zip(rows, ends):
-                own = np.concatenate([[False], flags[end - count : end], [False]])
-                turns = np.flatnonzero(own[1:] != own[:-1])
-                found += [(anchor, content, int(x), int(y - x)) for x, y in zip(turns[::2], turns[1::2])]
-        columns = list(zip(*found)) or [[]] * 4
+            # one place that repeats nothing before each string and one at the end keep islands apart
+            first = np.cumsum(counts) - counts + np.arange(1, len(rows) + 1)
+            own = np.zeros(len(flags) + len(rows) + 1, bool)
+            own[np.arange(len(flags)) + np.repeat(np.arange(1, len(rows) + 1), counts)] = flags
+            turns = np.flatnonzero(own[1:] != own[:-1]) + 1
+            begin, end = turns[::2], turns[1::2]
+            of = np.searchsorted(first, begin, "right") - 1
+            columns = [np.array([r[0] for r in rows])[of], np.array([r[1] for r in rows])[of], begin - first[of], end - begin]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)], names=["anchor", "content", "at", "long"]
+            [pa.array(c).cast(t) for c, t in zip(columns, types)], names=["anchor", "content", "at", "long"]
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +314,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     wanted = contents.join(mixed, "anchor").select(*run, "copies", "runs", "source.k1", "source.k2", "source.start")
     wanted = cut(wanted)
     # one occurrence of each is enough; a second table keeps nearly all others out of the shuffle
-    sources = wanted.select(F.col("content").bitwiseXOR(F.col("k1")).alias("anchor"))
+    sources = wanted.select("k1", F.explode(F.array(F.lit(-1), F.col("start"))).alias("start"))
+    sources = sources.select(source_keys("k1", "start").alias("anchor"))
     tables = [rolling.anchor_table(docs.sparkSession, rows) for rows in (mixed, sources)]
-    bodies = texts.mapInArrow(_open_runs(tables[0], length, anchor, tables[1]), RUN_SCHEMA + ", body binary")
-    strings = bodies.join(wanted, [*run, "k1", "k2", "start"]).select(*run, "count", "copies", "runs", "body")
+    bodies = texts.mapInArrow(_open_runs(tables[0], length, anchor, tables[1]), BODY_SCHEMA)
+    strings = bodies.join(wanted, ["anchor", "k1", "k2", "start"]).select(*run, "count", "copies", "runs", "body")
     strings = written(strings, "strings")
     small = strings.where(F.col("runs") <= GROUP).repartition("anchor").sortWithinPartitions(*run)
     sorted_in_tasks = small.mapInArrow(_sort_groups(length), "anchor long, content long, at int, long int")

@@ -1,13 +1,15 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gristmill.llm import suffix_array
+from gristmill.llm import rolling, suffix_array
 from gristmill.llm.suffix_array import _steps, remove_repeats, sorted_repeats
 
 from .support import awkward, documents, empty
@@ -87,3 +89,26 @@ def test_odd_rows(spark):
     rows = {r.doc_id: r for r in remove_repeats(awkward(spark), 40, 12).collect()}
     assert len(rows) == 8 and rows[3].n_removed == 15_000 and rows[6].n_removed == 5000 and rows[1].n_bytes == 0
     assert remove_repeats(empty(spark)).count() == 0
+
+
+def _bits(keys):
+    table = np.zeros(1 << rolling.TABLE_BITS, bool)
+    table[(keys >> np.uint64(64 - rolling.TABLE_BITS)).astype(np.int64)] = True
+    return SimpleNamespace(value=np.packbits(table).tobytes())
+
+
+def test_bodies_of_sources_only(monkeypatch):
+    """A run that a text holds twice is given once, and texts that are no source are not searched."""
+    passage = prose(20)
+    texts = [passage + prose(9) + passage, prose(30), passage]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([1, 2, 3]), pa.array(texts)], names=["k1", "k2", "text"])
+    runs_of, searched = suffix_array._runs_of(40, 12), []
+    runs = runs_of(texts[0])
+    body = [texts[0].encode()[x : x + n + 39] for x, n in zip(runs.start, runs.count)]
+    at = next(i for i, b in enumerate(body) if body.count(b) == 2)
+    keys = suffix_array._source_key(np.array([7, 7]), np.array([-1, runs.start[at]]))
+    monkeypatch.setattr(suffix_array, "_runs_of", lambda *_: lambda t: searched.append(t) or runs_of(t))
+    rows = list(suffix_array._open_runs(_bits(runs.anchor), 40, 12, _bits(keys))([batch]))
+    rows = [r for b in rows for r in b.to_pylist()]
+    assert [(r["k1"], r["k2"], r["start"], r["body"]) for r in rows] == [(7, 1, runs.start[at], body[at])]
+    assert searched == [texts[0]]
