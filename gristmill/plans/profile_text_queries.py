@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.operators.ordered import cut, dense_index
+from gristmill.operators.ordered import cut_texts, dense_index
 from gristmill.plans import views
 from gristmill.plans.registry import query
 from gristmill.sources import lines as LN
@@ -60,7 +60,7 @@ fa as (select capture_id, k, seq, 2.0 * j as pos, symbol, dso, ip, case when pla
 
 
 def _marked(spark, sf_dir):
-    return cut(P.mark_lines(perf_lines(spark, sf_dir)))
+    return cut_texts(P.mark_lines(perf_lines(spark, sf_dir)))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.symbols import UNKNOWN, normalize_symbol, perf_period_unit
-from gristmill.operators.ordered import count_since, cut, running, running_last
+from gristmill.operators.ordered import count_since, cut_texts, running, running_last
 from gristmill.sources.folded import FRAME
 from gristmill.sources.lines import capture_of, clean_text, invalid_byte_count, numbered_lines
 
@@ -24,6 +24,7 @@ HEADERS = (
     r"^(.*?)\s+(\d+)\s+(\d+)()\s+" + _TAIL,
     r"^(.*?)\s+(\d+)()()\s+" + _TAIL,
 )
+HEADER_SIGN = r"\d:\s"  # in every header, and quick to look for
 FRAME_LINE = r"^(?:0x)?([0-9a-fA-F]+)\s+(.+)$"
 ADDRESS_NOTE = r"^(.+)\[([0-9a-fA-F]+)\]$"
 SOURCE_NOTE = r"^(.+:\d+(?::\d+)?)(\s+\(inlined\))?$"
@@ -35,29 +36,39 @@ KERNEL_OBJECTS = ("[kernel.kallsyms]", "[kernel]")
 UNKNOWN_NAMES = ("[unknown]", "unknown", "0", "??")
 
 
-def _header(line: Column) -> Column:
-    """The first matching header form as a struct, null for any other line."""
+def _header_parts(line: Column) -> Column:
+    """The nine parts of the first matching header form, null for any other line.
+
+    One replacement takes all parts out; no part holds a line break.
+    """
     out = None
     for pattern in HEADERS:
-        def part(i: int, pattern: str = pattern) -> Column:
-            return F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
-
-        found = F.struct(
-            F.coalesce(F.nullif(F.trim(part(1)), F.lit("")), F.lit(UNKNOWN)).alias("command"),
-            part(2).try_cast("int").alias("pid"),
-            F.coalesce(part(3), part(2)).try_cast("bigint").alias("tid"),
-            part(4).try_cast("int").alias("cpu"),
-            part(5).alias("misc"),
-            part(6).try_cast("double").alias("time"),
-            part(7).try_cast("bigint").alias("period"),
-            part(8).alias("event"),
-            F.trim(F.coalesce(part(9), F.lit(""))).alias("tail"),
-        )
-        condition = line.rlike(pattern)
-        out = F.when(condition, found) if out is None else out.when(condition, found)
+        parts = F.split(F.regexp_replace(line, pattern + r"[\s\S]*", "\n".join(f"${i}" for i in range(1, 10))), "\n")
+        condition = line.rlike(HEADER_SIGN) & line.rlike(pattern)
+        out = F.when(condition, parts) if out is None else out.when(condition, parts)
     return out
 
 
+def _header(parts: Column) -> Column:
+    """``_header_parts`` as a struct."""
+
+    def part(i: int) -> Column:
+        return F.nullif(F.get(parts, F.lit(i - 1)), F.lit(""))
+
+    found = F.struct(
+        F.coalesce(F.nullif(F.trim(part(1)), F.lit("")), F.lit(UNKNOWN)).alias("command"),
+        part(2).try_cast("int").alias("pid"),
+        F.coalesce(part(3), part(2)).try_cast("bigint").alias("tid"),
+        part(4).try_cast("int").alias("cpu"),
+        part(5).alias("misc"),
+        part(6).try_cast("double").alias("time"),
+        part(7).try_cast("bigint").alias("period"),
+        part(8).alias("event"),
+        F.trim(F.coalesce(part(9), F.lit(""))).alias("tail"),
+    )
+    return F.when(parts.isNotNull(), found)
+
+
 def sample_context(misc: Column) -> Column:
     """Privilege of a sample from the first letter of its ``misc`` field."""
     first = F.upper(F.substring(misc, 1, 1))
@@ -219,7 +230,8 @@ def mark_lines(lines: DataFrame) -> DataFrame:
     text = F.regexp_replace(line, r"^\s+|\s+$", "")
     indented = line.rlike(r"^\s")
     header = F.col("header")
-    rows = lines.withColumn("line", line).withColumn("header", _header(F.col("line"))).withColumn("text", text)
+    rows = lines.withColumn("line", line).withColumn("__parts", _header_parts(F.col("line"))).withColumn("text", text)
+    rows = rows.withColumn("header", _header(F.col("__parts"))).drop("__parts")
     kind = (
         F.when(F.col("text") == "", "blank")
         .when(header.isNotNull(), "header")
@@ -230,7 +242,8 @@ def mark_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("text").rlike(SOURCE_NOTE), "source_note")
         .otherwise("unreadable")
     )
-    rows = rows.withColumn("kind", kind)
+    # the running values read their rows twice; lines are read and matched once
+    rows = cut_texts(rows.withColumn("kind", kind))
     kind = F.col("kind")
     has_frame = kind.isin("frame", "unreadable") | ((kind == "header") & (F.col("header.tail") != ""))
     rows = running(
@@ -254,11 +267,14 @@ def mark_lines(lines: DataFrame) -> DataFrame:
 def perf_frames(marked: DataFrame) -> DataFrame:
     """One row per frame: (capture_id, record, frame_line) with its frame and its annotation."""
     kind = F.col("kind")
-    own = F.when(kind == "header", F.col("header.tail")).otherwise(F.col("text"))
+    own = F.when(kind == "header", F.col("tail")).otherwise(F.col("text"))
     is_frame = F.col("line_no") == F.col("frame_line")
     note = F.when((kind == "source_note") & ~is_frame, F.struct("line_no", "text"))
     grouped = (
+        # dealt by record, as the stacks are: one shuffle for both
         marked.where(F.col("record").isNotNull() & F.col("frame_line").isNotNull())
+        .select("capture_id", "record", "frame_line", "line_no", "kind", "text", "header.tail")
+        .repartition("capture_id", "record")
         .groupBy("capture_id", "record", "frame_line")
         .agg(
             F.max(F.when(is_frame, own)).alias("text"),
@@ -379,7 +395,7 @@ def read_perf_script(spark: SparkSession, path: str | list[str]) -> tuple[DataFr
     lines = numbered_lines(spark, path).select(
         capture_of(F.col("path"), path).alias("capture_id"), "line_no", "line"
     )
-    marked = cut(mark_lines(lines))
+    marked = cut_texts(mark_lines(lines))
     records = perf_records(marked)
     broken = lines.groupBy("capture_id").agg(
         F.sum(invalid_byte_count(F.col("line"))).alias("unicode_replacement_count")

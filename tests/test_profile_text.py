@@ -182,3 +182,19 @@ def test_perf_script(spark, tmp_path):
     assert d["address_annotation_lines"] == 1 and d["unicode_replacement_count"] == 0
     merged = H.symbol_variants(samples).where("symbol = 'Codec::pack(int)'").collect()[0]
     assert merged["symbol_variants"] == ["Codec::pack(int)"] and not merged["normalization_merged"]
+
+
+def test_headers_are_matched_once(spark):
+    """The running values read lines that are classified already, and one replacement finds all parts."""
+    odd = ["a b 1/2 [003] U 4.5: 7 cycles:u: 8 f (x) ", "\u0001c 5 6.25: ev:", "x 1/2 3: 4 e: t\u0001t", "no header 5:6", "n 1 2 [3] 4: e: \tz "]
+    lines = spark.createDataFrame([("c", i + 1, t) for i, t in enumerate(odd)], "capture_id string, line_no long, line string")
+    marked = P.mark_lines(lines)
+    assert "rlike" not in marked._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = [tuple(r.header) if r.header else None for r in marked.orderBy("line_no").collect()]
+    assert found == [
+        ("a b", 1, 2, 3, "U", 4.5, 7, "cycles:u", "8 f (x)"),
+        ("\u0001c", 5, 5, None, None, 6.25, None, "ev", ""),
+        ("x", 1, 2, None, None, 3.0, 4, "e", "t\u0001t"),
+        None,
+        ("n", 1, 2, 3, None, 4.0, None, "e", "z"),
+    ]
