@@ -52,10 +52,10 @@ def probe_lines(spark, sf_dir, form: P.Form):
     files = spark.sql(_FILES, events=events)
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     number = lambda c: c.cast("string")
-    rows = views.event_rows(spark, sf_dir).select("user_id", "event_id", "ts_ns")
+    rows = events.select("user_id", "event_id", F.expr(views.SPARK_EPOCH).alias("ts_us"))
     from gristmill.operators.ordered import dense_index
 
-    rows = dense_index(rows, ["user_id"], ["ts_ns", "event_id"], F.floor(F.col("ts_ns") / F.lit(3_600_000_000_000)), "i").join(files, "user_id")
+    rows = dense_index(rows, ["user_id"], ["ts_us", "event_id"], F.floor(F.col("ts_us") / F.lit(3_600_000_000)), "i").join(files, "user_id")
     # four lines per event; times rise by ten
     kinds = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("kind")) for j, k in enumerate(P.EVENT_KINDS)])
     rows = rows.select("*", F.explode(kinds).alias("x")).select("*", "x.j", "x.kind")
@@ -77,7 +77,11 @@ def probe_lines(spark, sf_dir, form: P.Form):
         quoted(text(form.id_prefix, number(related))), ',"duration_ns":', F.when(kind == "wait_end", F.when(hit & (damage == 6), "11").otherwise("10")).otherwise("null"),
         held, ',"result":"', F.when(kind == "wait_begin", "unknown").when(kind == "release", "released").otherwise("acquired"), '","stack_id":"', stack, '"}',
     )
-    lines = rows.where(~(hit & (damage == 2))).select("user_id", (seq * 2 + 100).alias("at"), line.alias("line"))
+    # lines put in ahead of the events, and those put in or left out at the middle event
+    ahead = F.when(damage.isin(4, 10), 1).otherwise(0)
+    middle = F.when(damage == 2, -1).when(damage.isin(3, 7, 8), 1).otherwise(0)
+    place = seq + 4 + ahead + F.when(seq > F.col("m"), middle).otherwise(0)
+    lines = rows.where(~(hit & (damage == 2))).select("user_id", place.alias("line_no"), line.alias("line"))
     kinds_text = ",".join(f'"{k}"' for k in (("condition", "mutex") if native else form.lock_kinds))
     header = f'{{"schema_version":"1.0","record_type":"{form.prefix}_header","protocol":"{form.protocol}","protocol_version":"1.0","pid":70,"uid":0,"target_start_time_ticks":5,"semantics":"exact","duration_threshold_ns":null,"max_events":20000,"visible_lock_kinds":[{kinds_text}],'
     header += (
@@ -94,24 +98,20 @@ def probe_lines(spark, sf_dir, form: P.Form):
         ',"lost_event_count":', number(F.col("n") % 3), ',"truncated":false', "" if native else ',"observed_target_tids":[70,71,72]', "}",
     )
 
-    def extra(condition, place, value):
-        return files.where(condition).select("user_id", place.cast("long").alias("at"), value.alias("line"))
-
-    d, middle = F.col("damage"), F.col("m") * 2 + 101
-    parts = [
+    extra = lambda condition, at, value: F.when(condition, F.struct(at.cast("long").alias("line_no"), value.alias("line")))
+    d, broken = F.col("damage"), F.col("m") + 5
+    others = F.array(
         extra(F.lit(True), F.lit(1), F.lit(header)),
-        *[extra(F.lit(True), F.lit(10 + n), F.lit(one_stack(n))) for n in (1, 2, 3)],
-        extra(d != 1, total * 2 + 200, footer),
+        *[extra(F.lit(True), n + 1 + F.when(d == 10, 1).otherwise(0), F.lit(one_stack(n))) for n in (1, 2, 3)],
+        extra(d != 1, total + 5 + ahead + middle, footer),
         extra(d == 10, F.lit(2), F.lit(header)),
-        extra(d == 4, F.lit(20), F.lit(one_stack(2))),
-        extra(d == 3, middle, F.lit(one_stack(1))),
-        extra(d == 7, middle, F.lit('{"record_type":"probe_other"}')),
-        extra(d == 8, middle, F.lit('{"record_type":"probe_ev')),
-    ]
-    for part in parts:
-        lines = lines.unionByName(part)
-    numbered = dense_index(lines, ["user_id"], ["at"], F.floor(F.col("at") / F.lit(100_000)), "line_no")
-    return numbered.select(F.col("user_id").alias("capture_id"), (F.col("line_no") + 1).alias("line_no"), "line")
+        extra(d == 4, F.lit(5), F.lit(one_stack(2))),
+        extra(d == 3, broken, F.lit(one_stack(1))),
+        extra(d == 7, broken, F.lit('{"record_type":"probe_other"}')),
+        extra(d == 8, broken, F.lit('{"record_type":"probe_ev')),
+    )
+    more = files.select("user_id", F.inline(F.array_compact(others)))
+    return lines.unionByName(more).select(F.col("user_id").alias("capture_id"), "line_no", "line")
 
 
 def form_stack(form: P.Form) -> str:

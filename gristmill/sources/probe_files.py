@@ -3,8 +3,9 @@
 A probe file is JSON lines of four kinds.  It is taken as a whole or not at all: the first line that
 breaks a rule decides, and a file without its footer was cut off.  Every rule of a line looks at that line,
 at counts and last values of the lines before it (running values over spans, no task holds a file) and at
-what first carried the same id, so all lines of all files are judged at once.  A line after the first bad
-one may be judged as if that were not there; only the first bad line of a file has a meaning of its own.
+the event it names, so all lines of all files are judged at once.  A line is judged as if all lines before it
+were good, so events before it are known by their sequence, a lock by its last kind, and an open begin by its
+depth as long as no end named it; only the first bad line of a file has a meaning of its own.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gristmill.operators.ordered import cut, join_known, running, running_last, running_sum
-from gristmill.operators.runtime_locks import lifo_pairs
+from gristmill.operators.ordered import Running, cut, cut_texts, running_last, running_sum, running_within
 from gristmill.sources.adapters import CPYTHON_FLOOR_NS, _raw, _thread
 
 # fixed values: the fields of each kind of record in both forms of the file, id forms, lock kinds, outcomes
@@ -217,48 +218,67 @@ def _records(lines: DataFrame, form: Form) -> DataFrame:
         F.when(F.col("kind") == "header", _good_header(form)).when(F.col("kind") == "stack", _good_stack(form))
         .when(F.col("kind") == "event", _good_event(form)).when(F.col("kind") == "footer", _good_footer(form))
     )
-    rows = cut(rows.withColumn("shape_ok", F.coalesce(complete & good, F.lit(False))).drop("keys", "schema_version", "record_type"))
-    one = lambda name: F.when(F.col("kind") == name, 1).otherwise(0).cast("long")
-    return running(
-        rows,
-        ["capture_id"],
-        "line_no",
-        {
-            "lines_before": running_sum(F.lit(1).cast("long"), inclusive=False),
-            "events_before": running_sum(one("event"), inclusive=False),
-            "footers_before": running_sum(one("footer"), inclusive=False),
-        },
-    )
+    # what the rules across lines read; frames and texts of headers go no further than this table
+    named = F.col("related_source_event_id")
+    return cut_texts(
+        rows.select(
+            "capture_id", "line_no", "kind", F.coalesce(complete & good, F.lit(False)).alias("shape_ok"), "pid", "semantics", "duration_threshold_ns", "max_events", "visible_lock_kinds",
+            "hold_time_is_source_observed", "stack_id", "frames", "sequence", "source_event_id", "event_kind", "timestamp_ns", "tid", "raw_lock_token", "lock_kind",
+            "related_source_event_id", "duration_ns", "hold_duration_ns", "result", "declared_event_count", "lost_event_count", "truncated",
+            F.array_position(F.array(*map(F.lit, form.lock_kinds)), F.col("lock_kind")).alias("lock_place"),
+            F.when(named.startswith(form.id_prefix), F.expr(f"try_cast(substr(related_source_event_id, {len(form.id_prefix) + 1}) as bigint)")).alias("named"),
+        )
+    )
+
+
+_HEAD = ["pid", "semantics", "duration_threshold_ns", "max_events", "visible_lock_kinds", "hold_time_is_source_observed"]
+
 
+def _headers(records: DataFrame) -> DataFrame:
+    """The header of each file, if it comes first."""
+    first = records.groupBy("capture_id").agg(F.min("line_no").alias("line_no"))
+    heads = records.where("kind = 'header'").select("capture_id", "line_no", F.struct(*_HEAD).alias("h"))
+    return cut(heads.join(first, ["capture_id", "line_no"], "left_semi").drop("line_no"))
 
-def _event_context(events: DataFrame, stacks: DataFrame, form: Form) -> DataFrame:
-    """Events with the first kind of their lock, the first line of their stack, the time before, and their pair."""
+
+def _in_context(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines with their header, the counts before them, the last kind of their lock, the time and depth before, and whether their stack came before."""
     c = F.col
-    first_kind = events.groupBy("capture_id", "raw_lock_token").agg(F.min_by("lock_kind", "line_no").alias("first_kind"))
-    rows = join_known(events, first_kind, ["capture_id", "raw_lock_token"], "raw_lock_token")
-    rows = join_known(rows, stacks.select("capture_id", "stack_id", c("first_line").alias("stack_line")), ["capture_id", "stack_id"], "stack_id")
-    timed = running(
-        events.where(c("tid").isNotNull()), ["capture_id", "tid"], "line_no", {"time_before": running_last(c("timestamp_ns"), inclusive=False)}
-    ).select("capture_id", "line_no", "time_before")
-    rows = rows.join(timed, ["capture_id", "line_no"], "left")
-
-    kind = c("event_kind")
-    families = [("wait_begin", "wait_end")] + ([] if form is CPYTHON else [("acquire", "release")])
-    family = None
-    for begin, end in families:
-        family = F.when(kind.isin(begin, end), begin) if family is None else family.when(kind.isin(begin, end), begin)
-    steps = events.withColumn("family", family).where(c("family").isNotNull() & c("tid").isNotNull() & c("raw_lock_token").isNotNull() & c("lock_kind").isNotNull())
-    steps = steps.select(
-        "capture_id", "tid", "raw_lock_token", "lock_kind", "family", c("line_no").alias("event_index"), c("source_event_id").alias("event_id"),
-        F.when(kind == c("family"), 1).otherwise(-1).alias("step"), c("related_source_event_id").alias("ref_id"),
-    )
-    nested = lifo_pairs(steps, ["capture_id", "tid", "raw_lock_token", "lock_kind", "family"])
-    nested = nested.where("step < 0").select("capture_id", c("event_index").alias("line_no"), c("violation").alias("not_nested"))
-    rows = rows.join(nested, ["capture_id", "line_no"], "left")
-    named = events.groupBy("capture_id", c("source_event_id").alias("related_source_event_id")).agg(
-        F.min_by(F.struct("line_no", "event_kind", "tid", "raw_lock_token", "lock_kind", "timestamp_ns", "result"), "line_no").alias("pair")
+    one = lambda *names: F.when(c("kind").isin(*names), 1).otherwise(0).cast("long")
+    step = lambda begin, end: F.when(c("event_kind") == begin, 1).when(c("event_kind") == end, -1).cast("long")
+    of_event = lambda value: F.when(c("kind") == "event", value)
+    groups = [
+        ([], {"lines_before": running_sum(F.lit(1).cast("long"), False), "events_before": running_sum(one("event"), False), "footers_before": running_sum(one("footer"), False)}),
+        (["tid"], {"time_before": running_last(of_event(c("timestamp_ns")), False)}),
+        (["raw_lock_token"], {"place_before": running_last(of_event(c("lock_place")), False)}),
+        (["stack_id"], {"stack_line": Running("min", F.when(c("kind") == "stack", c("line_no")), False)}),
+        (
+            ["tid", "raw_lock_token", "lock_kind"],
+            {"wait_depth": running_sum(of_event(step("wait_begin", "wait_end"))), "hold_depth": running_sum(of_event(step("acquire", "release")))},
+        ),
+    ]
+    return cut_texts(running_within(records.drop("frames", *_HEAD[1:]), ["capture_id"], "line_no", groups, headers))
+
+
+def _with_pairs(events: DataFrame, form: Form) -> DataFrame:
+    """Events with the earlier one they name, and whether an end names another begin than the innermost open one."""
+    c = F.col
+    ends = {"wait_end": "wait_depth"} | ({} if form is CPYTHON else {"release": "hold_depth"})
+    begun = events.where(c("shape_ok") & (c("sequence") == c("events_before") + 1)).select(
+        "capture_id",
+        c("sequence").alias("named"),
+        F.struct("line_no", "event_kind", "tid", "raw_lock_token", "lock_kind", "timestamp_ns", "result", "wait_depth", "hold_depth").alias("pair"),
     )
-    return join_known(rows, named, ["capture_id", "related_source_event_id"], "related_source_event_id")
+    # of the ends that name a begin the first one closes it; the step of an end took one off its depth
+    naming = events.where(c("named").isNotNull())
+    same = Window.partitionBy("capture_id", "named")
+    naming = naming.withColumns({f"first_{end}": F.min(F.when(c("event_kind") == end, c("line_no"))).over(same) for end in ends})
+    met = naming.join(begun, ["capture_id", "named"], "left")
+    nested = F.lit(True)
+    for end, depth in ends.items():
+        nested = F.when(c("event_kind") == end, (c("pair")[depth] == c(depth) + 1) & (c(f"first_{end}") == c("line_no"))).otherwise(nested)
+    met = met.withColumn("not_nested", ~F.coalesce(nested, F.lit(False)))
+    return met.unionByName(events.where(c("named").isNull()).withColumn("not_nested", F.lit(True)), allowMissingColumns=True)
 
 
 def _bad_pair(form: Form) -> Column:
@@ -290,10 +310,9 @@ def read_probe(lines: DataFrame, form: Form = NATIVE) -> ProbeFiles:
     hold_observed, declared_events, lost_events, truncated``.  Empty files have no lines and so no row.
     """
     c = F.col
-    rows = _records(lines, form)
-    head = ["pid", "semantics", "duration_threshold_ns", "max_events", "visible_lock_kinds", "hold_time_is_source_observed"]
-    headers = cut(rows.where((c("lines_before") == 0) & (c("kind") == "header")).select("capture_id", F.struct(*head).alias("h"), c("shape_ok").alias("header_ok")))
-    rows = rows.join(headers.select("capture_id", "h"), "capture_id", "left")
+    records = _records(lines, form)
+    headers = _headers(records)
+    rows = _in_context(records, headers)
     first = c("lines_before") == 0
     ahead = (
         F.when(c("kind") == "broken", "INVALID_JSON")
@@ -302,25 +321,23 @@ def read_probe(lines: DataFrame, form: Form = NATIVE) -> ProbeFiles:
         .when(~first & (c("kind") == "header"), "DUPLICATE_HEADER")
         .when(c("kind") == "other", "UNKNOWN_RECORD")
     )
-    stacks = rows.where("kind = 'stack'")
-    first_stack = cut(stacks.where(c("stack_id").isNotNull()).groupBy("capture_id", "stack_id").agg(F.min("line_no").alias("first_line")))
-    events = cut(_event_context(rows.where("kind = 'event'"), first_stack, form))
+    events = rows.where("kind = 'event'")
+    with_pairs = _with_pairs(events, form)
     event_reason = (
         F.when(~c("shape_ok"), "INVALID_EVENT")
         .when(c("events_before") >= c("h.max_events"), "EVENT_BUDGET_EXCEEDED")
         .when(c("sequence") != c("events_before") + 1, "SEQUENCE_GAP")
         .when(c("pid") != c("h.pid"), "OUTSIDE_TARGET")
         .when(~F.array_contains("h.visible_lock_kinds", c("lock_kind")), "UNDECLARED_LOCK_KIND")
-        .when((c("first_kind") != c("lock_kind")) & F.lit(form is not CPYTHON), "LOCK_KIND_CHANGED")
-        .when(c("stack_id").isNotNull() & ~F.coalesce(c("stack_line") < c("line_no"), F.lit(False)), "UNKNOWN_STACK")
+        .when((c("place_before") != c("lock_place")) & F.lit(form is not CPYTHON), "LOCK_KIND_CHANGED")
+        .when(c("stack_id").isNotNull() & c("stack_line").isNull(), "UNKNOWN_STACK")
         .when((c("timestamp_ns") < c("time_before")) & F.lit(form is not CPYTHON), "TIME_REVERSED")
         .when(_bad_pair(form), "INVALID_EVENT_PAIR")
     )
-    judged_stacks = join_known(stacks, first_stack, ["capture_id", "stack_id"], "stack_id")
     stack_reason = (
         F.when((c("events_before") > 0) & F.lit(form.stacks_first), "STACK_AFTER_EVENT")
         .when(~c("shape_ok"), "INVALID_STACK")
-        .when(c("first_line") < c("line_no"), "DUPLICATE_STACK")
+        .when(c("stack_id").isNotNull() & c("stack_line").isNotNull(), "DUPLICATE_STACK")
     )
     other_reason = (
         F.when((c("kind") == "header") & ~c("shape_ok"), "INVALID_HEADER")
@@ -330,12 +347,12 @@ def read_probe(lines: DataFrame, form: Form = NATIVE) -> ProbeFiles:
         .when((c("kind") == "footer") & (c("declared_event_count") != c("events_before")), "EVENT_COUNT_MISMATCH")
     )
     parts = [
-        events.select("capture_id", "line_no", F.coalesce(ahead, event_reason).alias("reason")),
-        judged_stacks.select("capture_id", "line_no", F.coalesce(ahead, stack_reason).alias("reason")),
+        with_pairs.select("capture_id", "line_no", F.coalesce(ahead, event_reason).alias("reason")),
+        rows.where("kind = 'stack'").select("capture_id", "line_no", F.coalesce(ahead, stack_reason).alias("reason")),
         rows.where("kind not in ('event', 'stack')").select("capture_id", "line_no", F.coalesce(ahead, other_reason).alias("reason")),
     ]
     problems = cut(reduce(DataFrame.unionByName, parts).where(c("reason").isNotNull()))
-    return ProbeFiles(_captures(rows, headers, problems, form), problems, stacks, events)
+    return ProbeFiles(_captures(rows, headers, problems, form), problems, records.where("kind = 'stack'"), events)
 
 
 def _captures(rows: DataFrame, headers: DataFrame, problems: DataFrame, form: Form) -> DataFrame:
