@@ -62,6 +62,17 @@ def test_running_equals_plain_window(spark):
             assert {k: cut[g, i][f"{k}{inclusive}"] for k in want} == want
 
 
+def test_running_values_share_their_windows(spark):
+    # rows pass one window for the running sums and one for all other values, however many are asked for
+    rows = spark.range(50).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
+    odd, third = F.col("o") % 5 == 1, F.col("o") % 3 == 0
+    specs = {f"s{i}": O.count_since(odd, third, inclusive=False) for i in range(3)}
+    specs |= {"l": O.running_last(F.when(odd, F.col("o")), inclusive=False), "m": O.running_max(F.col("o"), inclusive=False)}
+    plan = O.running(rows, ["k"], "o", specs, 7)._jdf.queryExecution().optimizedPlan().toString()
+    over_rows = [line for line in plan.splitlines() if "Window [" in line and "[k#" in line and "__span" in line.split("], [k#")[1].split("]")[0]]
+    assert len(over_rows) <= 4  # twice: for the rows and for what spans hand on
+
+
 def test_dense_index(spark):
     df = spark.range(500).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 500).alias("t"))
     out = O.dense_index(df, ["g"], ["t"], F.floor(F.col("t") / 50))
