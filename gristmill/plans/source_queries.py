@@ -171,6 +171,7 @@ def bench_documents(spark, sf_dir):
         F.col("o_orderkey").alias("capture_id"),
         F.format_string(text, "o_orderpriority", times, F.col("o_orderkey") % 2).alias("document"),
     )
+    documents = B.with_dialect(documents)  # values and runs read them
     stats = OB.metric_stats(B.benchmark_values(documents), ["capture_id", "name"])
     errors = B.benchmark_runs(documents).select("capture_id", F.col("error_count").cast("int").alias("error_count"))
     return stats.join(errors, "capture_id").select("capture_id", "name", F.col("samples").cast("int").alias("samples"), "median", "error_count")

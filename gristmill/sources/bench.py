@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.sources.lines import capture_of
+from gristmill.operators.ordered import cut_texts
+from gristmill.sources.lines import capture_of, once
 
 # fixed values: schemas of the fields that are read, and the metric names and units they become
 HYPERFINE = "struct<results: array<struct<command: string, times: array<double>, exit_codes: array<int>>>>"
@@ -34,22 +35,28 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def dialect(document: Column) -> Column:
-    """Which of the four forms a document has, null for none of them."""
-    keys = F.json_object_keys(document)
+def with_dialect(documents: DataFrame) -> DataFrame:
+    """Documents with their ``dialect``: which of the four forms they have, null for none of them.
+
+    It is found once and kept with the documents, so that what reads one form passes over the others.
+    """
+    if "dialect" in documents.columns:
+        return documents
+    keyed = once(documents, __keys=F.json_object_keys("document"))
 
     def has(*names: str) -> Column:
         hit = F.lit(True)
         for name in names:
-            hit = hit & F.array_contains(keys, name)
+            hit = hit & F.array_contains("__keys", name)
         return hit
 
-    return (
-        F.when((F.get_json_object(document, "$.schema_version") == "1.0") & has("benchmark_id"), "native")
+    form = (
+        F.when(has("benchmark_id", "schema_version") & (F.get_json_object("document", "$.schema_version") == "1.0"), "native")
         .when(has("results"), "hyperfine")
         .when(has("benchmarks", "context"), "google_benchmark")
         .when(has("benchmarks", "version"), "pyperf")
     )
+    return cut_texts(keyed.withColumn("dialect", form).drop("__keys"))
 
 
 def _values(documents: DataFrame, entry: Column, name: Column, metrics: list[tuple[str, Column, Column, bool]]) -> DataFrame:
@@ -77,7 +84,7 @@ def benchmark_values(documents: DataFrame) -> DataFrame:
     A file may hold several names; choose one with a filter.  Optional metrics count only when
     every entry of the name reports them.
     """
-    marked = documents.withColumn("dialect", dialect(F.col("document")))
+    marked = with_dialect(documents)
 
     def of(kind: str, schema: str) -> DataFrame:
         return marked.where(F.col("dialect") == kind).withColumn("d", F.from_json("document", schema))
@@ -135,7 +142,7 @@ def benchmark_values(documents: DataFrame) -> DataFrame:
 
 def benchmark_runs(documents: DataFrame) -> DataFrame:
     """One row per (capture, name): dialect, error count and the condition fields as a map."""
-    marked = documents.withColumn("dialect", dialect(F.col("document")))
+    marked = with_dialect(documents)
 
     def of(kind: str, schema: str) -> DataFrame:
         return marked.where(F.col("dialect") == kind).withColumn("d", F.from_json("document", schema))

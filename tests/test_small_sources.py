@@ -42,6 +42,20 @@ def test_benchmark_dialects(spark):
     assert runs["n"][1]["environment.cpu_model"] == "c"
 
 
+def test_dialect_is_found_once(spark):
+    texts = ['{"results":[{"command":"c","times":[1.0]}]}', None, "", "[1]", "{broken", '{"schema_version":"1.0","results":[]}', '{"schema_version":"1.0","benchmark_id":1}',
+             '{"schema_version":"1.1","benchmark_id":1,"benchmarks":[],"version":1}', '{"benchmarks":[],"context":{},"version":1}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "capture_id int, document string")
+    # neither the values nor the runs look at the keys of a document again, in whichever form they read it
+    for read in (B.benchmark_values(rows), B.benchmark_runs(rows)):
+        assert "json_object_keys" not in read._jdf.queryExecution().optimizedPlan().toString()
+    found = B.with_dialect(rows)
+    assert B.with_dialect(found) is found
+    assert {r[0]: r["dialect"] for r in found.collect()} == {
+        0: "hyperfine", 1: None, 2: None, 3: None, 4: None, 5: "hyperfine", 6: "native", 7: "pyperf", 8: "google_benchmark",
+    }
+
+
 def test_counters_and_ipc(spark):
     rows = [
         ("# a note", "SKIP"), ("840;;cycles;77;100.00", None), ("1260;;instructions;77;100.00", None), ("31;;branches;70;91.25%", None),
