@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gristmill.operators import compare as P
-from gristmill.operators.ordered import shared_dir
+from gristmill.operators.ordered import cut_texts, shared_dir
 from gristmill.plans import views
 from gristmill.plans.compare_queries import _diff_sql, exported_hotspots
 from gristmill.plans.registry import query
@@ -37,11 +37,11 @@ def _over_kept(steps: str, view: str, rows: str) -> str:
     return f"{view}, {_in_time(rows)}" + steps.removeprefix(view).replace(f"from {rows}", "from kept")
 
 
-def streamed(spark, events, kind):
-    """Run the three batches and the end of the stream in a folder of their own."""
+def streamed(spark, events, kind, *wanted):
+    """Run the three batches and the end of the stream in a folder of their own; only the results in ``wanted`` are written."""
     folder = f"{shared_dir(spark)}/gristmill-streams/{uuid.uuid4().hex}"
-    rows = events.withColumn("__b", F.expr(_BATCH))
-    stream = C.CarriedPairing(spark, folder, kind, events.schema, DELAY, silence_ns=1 << 61)
+    rows = cut_texts(events.withColumn("__b", F.expr(_BATCH)))  # numbered once, not for each batch
+    stream = C.CarriedPairing(spark, folder, kind, events.schema, DELAY, silence_ns=1 << 61, wanted=wanted)
     for batch in range(3):
         stream.step(rows.where(F.col("__b") == batch), batch)
     stream.finish(3)
@@ -50,13 +50,13 @@ def streamed(spark, events, kind):
 
 @query("streamed_off_cpu", f"with {_over_kept(_DUCK_STEPS, views.DUCK_SCHED, 'sched')} select {_OFF} from off_i")
 def streamed_off_cpu(spark, sf_dir):
-    done = streamed(spark, views.sched_events(spark, sf_dir), C.THREADS)
+    done = streamed(spark, views.sched_events(spark, sf_dir), C.THREADS, "off_cpu")
     return done.result("off_cpu").drop("waker_tid", "batch")
 
 
 @query("streamed_waits", f"with {_over_kept(_DUCK_LSTEPS, views.DUCK_LOCKS, 'locks')} select * from wait_i")
 def streamed_waits(spark, sf_dir):
-    return streamed(spark, views.lock_events(spark, sf_dir), C.LOCKS).result("waits").drop("batch")
+    return streamed(spark, views.lock_events(spark, sf_dir), C.LOCKS, "waits").result("waits").drop("batch")
 
 
 @query(

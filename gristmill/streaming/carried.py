@@ -13,7 +13,7 @@ large as the number of open keys plus the rows not yet due.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,12 +60,15 @@ class CarriedPairing:
     how much later than the newest row a row may come; ``silence_ns`` how long a key may be silent before what it
     left open is reported as ended.  ``schema`` is that of the rows (``capture_id, tid, event_index, event_id,
     ts_ns, event_type`` and what the batch operator reads); ``event_index`` must order the rows of a key as their
-    times do.
+    times do.  ``wanted`` names the results that are written (all if it is missing); late rows always are.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, kind: Pairing, schema, delay_ns: int, silence_ns: int = HOUR_NS):
+    def __init__(
+        self, spark: SparkSession, folder: str, kind: Pairing, schema, delay_ns: int, silence_ns: int = HOUR_NS, wanted: Iterable[str] | None = None
+    ):
         self.spark, self.folder, self.kind, self.schema = spark, folder.rstrip("/"), kind, schema
         self.delay_ns, self.silence_ns = delay_ns, silence_ns
+        self.results = kind.results if wanted is None else {name: kind.results[name] for name in wanted}
 
     # --- tables
 
@@ -105,7 +108,8 @@ class CarriedPairing:
 
     def finish(self, batch: int) -> None:
         """Take all waiting rows and close all keys, as if the stream had ended; ``batch`` is the number after the last."""
-        self._advance(self.spark.createDataFrame([], self.schema), batch, close=True)
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        self._advance(self.spark.range(0).select(*none), batch, close=True)
 
     def _advance(self, rows: DataFrame, batch: int, close: bool) -> None:
         keys = list(self.kind.keys)
@@ -148,10 +152,10 @@ class CarriedPairing:
         # end rows stand for the end of the stream only where a key is ended
         ended = now.where(silent).select(*keys, F.lit(True).alias("__ended"))
         final = steps.join(ended, keys, "left").where((F.col("event_type") != "end") | F.col("__ended")).drop("__ended")
-        for name, rows_of in self.kind.results.items():
+        for name, rows_of in self.results.items():
             self._save(rows_of(final), name, batch)
         self._save(kept if resting is None else kept.unionByName(resting.select(*kept.columns)), "carry", batch)
-        self._save(self.spark.createDataFrame([(watermark,)], "watermark_ns long"), "watermark", batch)
+        self._save(self.spark.range(1).select(F.lit(watermark).cast("long").alias("watermark_ns")), "watermark", batch)
         for table in ("taken", "ready", "steps"):
             self._drop(self._path(table, batch))
         for table in ("waiting", "carry", "watermark"):  # the batch before is kept, in case this one is run again

@@ -71,6 +71,22 @@ def test_locks_in_shuffled_batches(spark, tmp_path):
     assert not late
 
 
+def test_results_nobody_wants_are_not_written(spark, tmp_path):
+    rows = sched_rows(300, seed=9)
+    found = {}
+    for folder, wanted in (("all", None), ("one", ["off_cpu"]), ("none", [])):
+        frame = spark.createDataFrame(rows, SCHED)
+        stream = C.CarriedPairing(spark, str(tmp_path / folder), C.THREADS, frame.schema, delay_ns=200, silence_ns=1 << 60, wanted=wanted)
+        for i, part in enumerate(deal(rows, 2, 60)):
+            stream.step(spark.createDataFrame(part, SCHED), i)
+        stream.finish(2)
+        found[folder] = stream
+    written = lambda folder: {p.name for p in (tmp_path / folder).iterdir()} & set(C.THREADS.results)
+    assert written("all") == set(C.THREADS.results) and written("one") == {"off_cpu"} and not written("none")
+    assert plain(found["one"].result("off_cpu")) == plain(found["all"].result("off_cpu"))
+    assert plain(found["none"].result("late")) == plain(found["all"].result("late"))
+
+
 def test_a_batch_may_run_again(spark, tmp_path):
     rows = sched_rows(400, seed=6)
     parts = deal(rows, 2, 10)
