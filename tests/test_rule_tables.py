@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+from pyspark.sql import functions as F
 
 from gristmill.operators import classify as C
 from gristmill.sources import rule_tables as T
@@ -83,6 +84,36 @@ def test_candidates_are_few_and_meet_by_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_candidates_hold_the_whole_text(spark):
+    """Symbols that share a run of three characters with a pattern's text, but not the text, are no candidates."""
+    symbols = spark.createDataFrame([(f"alloc_{i}", "app") for i in range(100)], "symbol string, dso string")
+    rules = T.rule_frame(spark, [Rule(id=f"r{i}", category="c", symbol_regex=(f"^alloc_{i}$",)) for i in range(10, 20)])
+    assert C.rule_candidates(symbols, rules).count() == 10
+
+
+def test_many_rules_of_few_kinds_over_many_tasks(spark, monkeypatch):
+    """Rules with the same patterns and other thresholds; the matches of one capture are numbered in many tasks."""
+    monkeypatch.setattr(C, "PAIRS", 64, raising=False)
+    rules = [
+        Rule(id=f"r{i}", category="c", symbol_regex=(r".+",) if i % 3 else ("^mem", "cpy"), dso_regex=("^app$",) if i % 2 else (), self_percent_gte=float(i % 5), inclusive_percent_gte=float(i % 7))
+        for i in range(60)
+    ]
+    frame = spots(spark).where("capture_id = 0")
+    found = C.classify_by_table(frame, T.rule_frame(spark, rules))
+    assert plain(found) == plain(C.classify(frame, rules))
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) > 1000 and max(shares) < sum(shares) / 8
+
+
+def test_repeated_rules_and_hotspots(spark):
+    """Rows that come twice match twice, are numbered once each, and ties of the rank stay in the order of the rules."""
+    rules = [Rule(id="a", category="c", symbol_regex=("x",)), Rule(id="b", category="c", symbol_regex=("x", "^x$"), self_percent_gte=2.0)]
+    frame = spark.createDataFrame([(0, "H1", 1, "x", None, 1, 3.0, 3.0), (0, "H2", 1, "xx", "app", 1, 3.0, 3.0), (0, "H3", 2, "x", None, 1, 1.0, 1.0)], SPOTS)
+    table = T.rule_frame(spark, rules)
+    found = C.classify_by_table(frame, table.unionByName(table)).select("classification_id", "rank", "rule_id").collect()
+    assert sorted(tuple(r) for r in found) == [(f"C-{n + 1:03d}", *r) for n, r in enumerate([(1, "a")] * 4 + [(1, "b")] * 4 + [(2, "a")] * 2)]
+
+
 def test_rule_files(spark, tmp_path):
     good = {
         "id": "a", "version": 2, "scope": "cpp", "match": {"symbol_regex": ["^x"], "dso_regex": ["lib"]}, "thresholds": {"self_percent_gte": 1.5},
