@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import hotspots as H
 from gristmill.operators import quality as Q
+from gristmill.plans import compare_queries as C
 from gristmill.sources.folded import plain_frame
 
 STACKS = [
@@ -48,3 +49,16 @@ def test_quality_takes_what_its_caller_has(spark, monkeypatch):
         monkeypatch.setattr(H, name, lambda samples, name=name: calls.append(name))
     assert sorted(str(r) for r in Q.evidence_quality(rows, hotspot_limit=2, spots=spots, paths=paths).collect()) == want
     assert not calls
+
+
+def test_queries_work_hotspots_and_paths_out_once(spark, monkeypatch):
+    rows = samples(spark).withColumn("sample_seq", F.lit(0))
+    monkeypatch.setattr(C.views, "samples", lambda spark, sf_dir, kept=False: rows)
+    calls = collections.Counter()
+    for name in ("hotspots", "call_paths"):
+        monkeypatch.setattr(H, name, lambda samples, name=name, real=getattr(H, name): calls.update([name]) or real(samples))
+    assert sorted(tuple(r) for r in C.verify_exports(spark, "").collect()) == [("a", 22, True), ("b", 22, True)]
+    assert calls == {"hotspots": 1, "call_paths": 1}
+    calls.clear()
+    C.diagnosis(spark, "").collect()
+    assert calls == {"hotspots": 1, "call_paths": 1}
